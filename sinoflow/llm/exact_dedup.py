@@ -118,23 +118,18 @@ def _by_bytes(rows: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
-    spark = docs.sparkSession
-    decided = common.materialize(
-        dedup_table(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "dedup-kept"
-    ).filter("kept")
-    inner = [F.col("d.__id").eqNullSafe(F.col("k.doc_id"))]
-    named = docs.withColumn("__id", F.col("doc_id").cast("long")).alias("d")
-    # a doc_id on several rows is decided by its text as well
-    repeated = common.materialize(decided.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m")).filter("n > 1 or m > 1").select("doc_id"), "dedup-repeated")
-    odd_ids = common.materialize(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1").select("doc_id"), "dedup-odd").union(repeated).distinct()
-    odd_ids = common.materialize(odd_ids, "dedup-odd-ids")
-    usual = decided
-    if not odd_ids.limit(1).count():
-        return named.join(usual.select("doc_id").alias("k"), inner, "left_semi").drop("__id")
-    some = named.join(odd_ids.alias("k"), inner, "left_semi").withColumn("__sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    some = some.alias("d").join(
-        decided.alias("k"), inner + [F.col("d.__sha") == F.col("k.text_sha256")], "left_semi"
-    ).dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
-    rest = named.join(odd_ids.alias("k"), inner, "left_anti").alias("d").join(usual.select("doc_id").alias("k"), inner, "left_semi").drop("__id")
-    return rest.unionByName(some)
+    """``docs``, all columns, with one row of each group of equal texts. Of rows that repeat doc_id and text one stays."""
+    kept = dedup_table(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    kept = common.materialize(kept, "dedup-kept")
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    ids = common.materialize(rows.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("__id").alias("kept_id")), "dedup-repeated")
+    same_id = F.col("__id").eqNullSafe(F.col("kept_id"))
+    once = kept.select("kept_id").distinct()
+    if not ids.limit(1).count():
+        return rows.join(once, same_id, "left_semi").drop("__id")
+    # a doc_id on several rows does not tell them apart: there the text decides as well
+    single = rows.join(ids, same_id, "left_anti").join(once, same_id, "left_semi").drop("__id")
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    several = rows.join(ids, same_id, "left_semi").withColumn("__sha", sha)
+    several = several.join(kept, same_id & (F.col("__sha") == F.col("kept_sha")), "left_semi").dropDuplicates(["__id", "__sha"])
+    return single.unionByName(several.drop("__id", "__sha"))
