@@ -5,8 +5,8 @@
    n - ceil(0.8 n) + 1 shingles; only those are posted, and postings that no other class has are dropped.
 3. Neighbours in size within two postings of each class are compared first. That joins most near copies, and pairs
    inside a component need no further look, so a group of copies does not cost its square.
-4. In every posting with more than one component, members sorted by size are compared in tiles, over the sizes that
-   can be similar: parity bitmaps bound the overlap from above by their differing bits. Pairs that survive are
+4. In every posting with more than one component, dealt out in tiles, members sorted by size are compared over the band
+   of sizes that can be similar: parity bitmaps bound the overlap from above by their differing bits. Pairs that survive are
    verified by intersecting the sorted hash arrays.
 
 Step 2's order puts shingles that a bounded sample shows to be frequent last. Any order is right; this one keeps
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinoflow.llm import common
-from sinoflow.llm.bpe import PieceCache
 from sinoflow.llm.components import components
 
 SHINGLE = 5
@@ -29,44 +28,97 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 #: The planning sample of step 2 (documents; least share of them that makes a shingle frequent; most such shingles).
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 0.0015, 20_000
-#: Members of a posting compared in one piece, and of a tile of the bitmap comparison.
-TILE_MEMBERS, TILE = 2048, 256
+#: Members of a posting compared in one piece; larger postings are dealt out as pairs of such tiles.
+TILE_MEMBERS = 2048
 BROADCAST_IDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_BIT_COUNTS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Bits of the parity bitmaps, and bytes of text hashed at once.
+BITS, SLICE_BYTES = 1024, 1 << 18
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _word_hashes() -> PieceCache:
-    import xxhash
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _ODD[3]
+    return x ^ (x >> np.uint64(29))
+
+
+def _byte_values() -> np.ndarray:
+    """A 64-bit value for each byte, upper-case ASCII as lower."""
+    values = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0]))
+    values[65:91] = values[97:123]
+    return values
+
 
-    return PieceCache(lambda w: xxhash.xxh3_64_intdigest(w))
+_BYTES = _byte_values()
+_powers: list[np.ndarray] = []
 
 
-_words = None
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd base modulo 2^64 and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(19, (n - 1).bit_length())
+        base = int(_ODD[1])
+        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64))]
+    return _powers
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    """Distinct shingle hashes of a text in ascending order; of fewer than five words one hash of all; else none."""
-    global _words
-    if _words is None:
-        _words = _word_hashes()
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(words) < SHINGLE:
-        acc = np.uint64(len(words))
-        for c in codes:
-            acc = np.uint64((int(acc) * 0x9E3779B97F4A7C15 + int(c)) & 0xFFFFFFFFFFFFFFFF)
-        mixed = np.array([acc], np.uint64)
-    else:
-        n = len(words) - SHINGLE + 1
-        mixed = codes[:n] * _ODD[0]
-        for k in range(1, SHINGLE):
-            mixed = mixed + codes[k : k + n] * _ODD[k]
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[3]
-    mixed = mixed ^ (mixed >> np.uint64(29))
-    return np.unique(mixed.view(np.int64))
+def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text in ascending order; of fewer than five words one hash of all; else none.
+
+    Word hashes are differences of a running polynomial hash over all bytes, so nothing loops over words.
+    """
+    out: list[np.ndarray] = []
+    low = 0
+    while low < len(texts):
+        high, total = low, 0
+        while high < len(texts) and (high == low or total + len(texts[high]) < SLICE_BYTES):
+            total += len(texts[high]) + 1
+            high += 1
+        out += _sliced_hashes(texts[low:high])
+        low = high
+    return out
+
+
+def _sliced_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    power, inverse = _power_tables(len(data) + 1)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[0::2], edge[1::2]  # every text ends in a space
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[: len(data)])])
+    words = _mixed((run[ends] - run[starts]) * inverse[starts])
+    owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
+    n_words = np.bincount(owner, minlength=len(texts))
+    n = max(0, len(words) - SHINGLE + 1)
+    hashes = words[:n] * _ODD[0]
+    for k in range(1, SHINGLE):
+        hashes = hashes + words[k : k + n] * _ODD[k]
+    hashes = _mixed(hashes).view(np.int64)
+    first = np.concatenate([[0], np.cumsum(n_words)])
+    out = []
+    for i, count in enumerate(n_words.tolist()):
+        at = first[i]
+        if count >= SHINGLE:
+            own = np.sort(hashes[at : at + count - SHINGLE + 1])
+            fresh = np.ones(len(own), bool)
+            fresh[1:] = own[1:] != own[:-1]
+            out.append(own if fresh.all() else own[fresh])
+        elif count:
+            acc = np.full(1, count, np.uint64)
+            for w in words[at : at + count]:
+                acc = _mixed(acc * _ODD[4] + w)
+            out.append(acc.view(np.int64))
+        else:
+            out.append(np.zeros(0, np.int64))
+    return out
+
+
+def _utf8(column: pa.Array) -> list[bytes]:
+    return [v.as_buffer().to_pybytes() for v in column.cast(pa.binary())]
 
 
 def least_overlap(n):
@@ -74,20 +126,29 @@ def least_overlap(n):
     return -(-PART * n // WHOLE)
 
 
-def _signature(text: str, frequent: np.ndarray) -> tuple[int, int, list[int] | np.ndarray]:
+def set_key(hashes: np.ndarray) -> int:
     import xxhash
 
-    hashes = shingle_hashes(text)
+    return xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(hashes)) - (1 << 63)
+
+
+def parity_bitmap(hashes: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of hashes fall on i; differing bits bound the symmetric difference from below."""
+    return np.packbits(np.bincount(hashes & (BITS - 1), minlength=BITS).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _signature(hashes: np.ndarray, frequent: np.ndarray) -> tuple[int, int, list | np.ndarray, bytes | None]:
     n = len(hashes)
-    key = xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=n) - (1 << 63) if n else 0
+    key = set_key(hashes) if n else 0
     if n < WHOLE:  # such sets are similar only if equal
-        return n, key, []
-    length = n - least_overlap(n) + 1
+        return n, key, [], None
+    length, bitmap = n - least_overlap(n) + 1, parity_bitmap(hashes)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        common_ = frequent[at] == hashes
-        hashes = np.concatenate([hashes[~common_], hashes[common_]])
-    return n, key, hashes[:length]
+        late = frequent[at] == hashes
+        if late.any():
+            hashes = np.concatenate([hashes[~late], hashes[late]])
+    return n, key, hashes[:length], bitmap
 
 
 def _frequent_shingles(rows: DataFrame) -> np.ndarray:
@@ -98,8 +159,8 @@ def _frequent_shingles(rows: DataFrame) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for value in batch.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(value.as_py()), pa.int64())], names=["h"])
+            for hashes in shingle_hashes(_utf8(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64())], names=["h"])
 
     counted = sample.mapInArrow(run, "h long").groupBy("h").count()
     least = max(3, int(FREQUENT * min(total, SAMPLE_DOCS)))
@@ -108,26 +169,25 @@ def _frequent_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n, key of its set, and its prefix postings; written to the shared folder."""
+    """Per row: doc_id, n, key of its set, its prefix postings and its bitmap; written to the shared folder."""
     common.bounded_batches(docs.sparkSession)
     rows = common.texts(docs)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(rows))
 
     def run(batches):
         for batch in batches:
-            out = [_signature(value.as_py(), frequent.value) for value in batch.column(1)]
-            n, key, prefix = zip(*out) if out else ((), (), ())
+            out = [_signature(hashes, frequent.value) for hashes in shingle_hashes(_utf8(batch.column(1)))]
+            n, key, prefix, bitmap = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "prefix"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())],
+                names=["doc_id", "n", "key", "prefix", "bitmap"],
             )
 
-    return common.materialize(rows.mapInArrow(run, "doc_id long, n int, key long, prefix array<long>"), "jaccard-sets")
+    return common.materialize(rows.mapInArrow(run, "doc_id long, n int, key long, prefix array<long>, bitmap binary"), "jaccard-sets")
 
 
-def _shared_postings(sets: DataFrame) -> DataFrame:
+def _shared_postings(classes: DataFrame) -> DataFrame:
     """h, key, n of postings that at least two classes have."""
-    classes = sets.filter(F.size("prefix") > 0).dropDuplicates(["key"])
     posted = classes.select(F.explode("prefix").alias("h"), "key", "n").repartition("h").sortWithinPartitions("h")
 
     def run(batches):
@@ -152,107 +212,77 @@ def _shared_postings(sets: DataFrame) -> DataFrame:
     return common.materialize(posted.mapInArrow(run, "h long, key long, n int"), "jaccard-postings")
 
 
-def parity_bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit i tells whether an odd number of hashes fall on i; differing bits bound the symmetric difference from below."""
-    return np.packbits(np.bincount(hashes & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little")
+def _bounded(n1: np.ndarray, n2: np.ndarray, map1: np.ndarray, map2: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps leave room for similarity: the overlap is at most (n1 + n2 - differing bits) / 2."""
+    differ = np.bitwise_count(map1 ^ map2).sum(axis=1, dtype=np.int64)
+    overlap = (n1 + n2 - differ) // 2
+    return WHOLE * overlap >= PART * (n1 + n2 - overlap)
 
 
-def bitmap_bits(n: int) -> int:
-    return 1 << min(14, max(8, int(n).bit_length()))
+def _maps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_buffer() for v in column), np.uint64).reshape(len(column), BITS // 64)
 
 
-def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
-    """The bitmap at a smaller number of bytes."""
-    while len(bitmap) > size:
-        half = len(bitmap) // 2
-        bitmap = bitmap[:half] ^ bitmap[half:]
-    return bitmap
-
-
-def _arrays(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, n, sorted hashes and bitmap of each class in ``keys``, taken from one document of the class."""
-    ids = common.materialize(sets.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id")), "jaccard-needed")
-    ids = ids.select("id").distinct()
+def _arrays(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and sorted hashes of each class in ``keys``, taken from one document of the class."""
+    ids = common.materialize(classes.join(keys, "key", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "jaccard-needed")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = common.texts(docs).join(near, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            out = {"key": [], "n": [], "hashes": [], "bitmap": []}
-            for value in batch.column(1):
-                hashes = shingle_hashes(value.as_py())
-                if len(hashes) >= WHOLE:
-                    out["key"].append(xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(hashes)) - (1 << 63))
-                    out["n"].append(len(hashes))
-                    out["hashes"].append(hashes.tobytes())
-                    out["bitmap"].append(parity_bitmap(hashes, bitmap_bits(len(hashes))).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("bitmap", pa.binary())]))
-
-    made = rows.mapInArrow(run, "key long, n int, hashes binary, bitmap binary")
+            sets = [x for x in shingle_hashes(_utf8(batch.column(1))) if len(x) >= WHOLE]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"]
+            )
+
+    made = rows.mapInArrow(run, "key long, hashes binary")
     return common.materialize(made.dropDuplicates(["key"]), "jaccard-arrays")
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are similar, by exact intersection of their sorted arrays."""
+    arrays = _arrays(docs, classes, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     side = lambda s: arrays.select(F.col("key").alias(s), F.col("hashes").alias(f"{s}_hashes"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
         for batch in batches:
-            a, b = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             links = np.zeros(len(a), bool)
             for i in range(len(a)):
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                at = np.searchsorted(x, y)
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 links[i] = WHOLE * both >= PART * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[links], pa.int64()), pa.array(b[links], pa.int64())], names=["a", "b"])
 
-    spark = pairs.sparkSession
-    common.bounded_batches(spark)
+    common.bounded_batches(pairs.sparkSession)
     checked = joined.select("a", "b", "a_hashes", "b_hashes").mapInArrow(run, "a long, b long")
     return common.materialize(checked, "jaccard-links")
 
 
-def _first_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of neighbours in size, at distances 1, 2 and 4, within the two first postings of each class."""
+def _first_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of neighbours in size, at distances 1, 2 and 4, within the two first postings of each class, that pass the bitmap bound."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("h"))
     near = postings.withColumn("rank", rank).filter("rank <= 2").drop("rank")
     by = Window.partitionBy("h").orderBy("n", "key")
     ahead = [F.struct(F.lead("key", d).over(by).alias("b"), F.lead("n", d).over(by).alias("m")) for d in (1, 2, 4)]
     pairs = near.select("key", "n", F.array(*ahead).alias("next")).select(F.col("key").alias("a"), "n", F.explode("next").alias("x"))
     pairs = pairs.select("a", "n", "x.b", "x.m").filter(f"b is not null and a <> b and {WHOLE} * n >= {PART} * m")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select("a", "b").distinct()
+    side = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"{s}_n"), F.col("bitmap").alias(f"{s}_map"))
+
+    def run(batches):
+        for batch in batches:
+            n1, n2 = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(_bounded(n1, n2, _maps(batch.column(4)), _maps(batch.column(5)))))
 
+    known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_map", "b_map")
+    return common.materialize(known.mapInArrow(run, "a long, b long"), "jaccard-first")
 
-def _possible(n: np.ndarray, label: np.ndarray, part: np.ndarray, maps: list[np.ndarray], split: bool):
-    """Index pairs of members, sorted by n, that differ in label, can be similar by size and by their bitmaps.
 
-    split: the members are two tiles of a larger posting, told apart by ``part``; only pairs across count.
-    """
-    for low in range(0, len(n), TILE):
-        top = min(low + TILE, len(n))
-        last = int(np.searchsorted(n, WHOLE * n[top - 1] // PART, side="right"))  # sizes are banded: beyond, none is similar
-        for start in range(low, last, TILE):
-            stop = min(start + TILE, last)
-            size = min(len(maps[i]) for i in (low, start))
-            left = np.stack([folded(maps[i], size) for i in range(low, top)])
-            right = np.stack([folded(maps[i], size) for i in range(start, stop)])
-            differ = np.empty((top - low, stop - start), np.int64)
-            for i in range(top - low):
-                differ[i] = _BIT_COUNTS[left[i] ^ right].sum(axis=1, dtype=np.int64)
-            n1, n2 = n[low:top, None].astype(np.int64), n[None, start:stop].astype(np.int64)
-            overlap = (n1 + n2 - differ) // 2
-            fits = (WHOLE * overlap >= PART * (n1 + n2 - overlap)) & (label[low:top, None] != label[None, start:stop])
-            fits &= np.arange(low, top)[:, None] < np.arange(start, stop)[None, :]
-            if split:
-                fits &= part[low:top, None] != part[None, start:stop]
-            for i, j in zip(*np.nonzero(fits), strict=True):
-                yield low + i, start + j
-
-
-def _other_pairs(postings: DataFrame, labels: DataFrame, arrays: DataFrame) -> DataFrame:
+def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """All pairs of classes in different components that share a posting and pass the bitmap bound."""
     known = postings.join(labels.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("label", "key").alias("label"))
     mixed = known.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2")
@@ -263,34 +293,54 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, arrays: DataFrame) -> D
     # a posting of many members is dealt out as pairs of tiles
     dealt = known.withColumn("part", part).select("h", "key", "n", "label", "part", other.alias("with"))
     dealt = dealt.select("h", F.least("part", "with").alias("t"), F.greatest("part", "with").alias("u"), "key", "n", "label", "part")
-    dealt = dealt.join(arrays.select("key", "bitmap"), "key").repartition("h", "t", "u").sortWithinPartitions("h", "t", "u", "n", "key")
+    dealt = dealt.join(classes.select("key", "bitmap"), "key").repartition("h", "t", "u").sortWithinPartitions("h", "t", "u", "n", "key")
 
-    def compare(rows: dict):
-        n, label, part = (np.array(rows[c]) for c in ("n", "label", "part"))
-        if len(n) < 2 or (label == label[0]).all():
-            return None
-        maps = [np.frombuffer(x, np.uint8) for x in rows["bitmap"]]
-        found = list(_possible(n, label, part, maps, rows["t"][0] != rows["u"][0]))
+    columns = ["h", "t", "u", "key", "n", "label", "part", "bitmap"]
+
+    def compare(batch: pa.RecordBatch, run: np.ndarray):
+        """Members of a run stand in order of size; those d places apart are compared for d = 1, 2, ..."""
+        key, n, label, part, t, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label", "part", "t", "u"))
+        n, maps, found = n.astype(np.int64), _maps(batch.column("bitmap")), []
+        i = np.arange(len(n))
+        for d in range(1, len(n)):
+            i = i[i + d < len(n)]
+            # a member whose d-th neighbour is of another run or too large has no similar member further on
+            i = i[(run[i] == run[i + d]) & (WHOLE * n[i] >= PART * n[np.minimum(i + d, len(n) - 1)])]
+            if not len(i):
+                break
+            j = i + d
+            some = (label[i] != label[j]) & ((t[i] == u[i]) | (part[i] != part[j]))
+            a, b = i[some], j[some]
+            for low in range(0, len(a), 1 << 16):
+                x, y = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
+                good = _bounded(n[x], n[y], maps[x], maps[y])
+                if good.any():
+                    found.append(np.stack([np.minimum(key[x[good]], key[y[good]]), np.maximum(key[x[good]], key[y[good]])], axis=1))
         if not found:
             return None
-        keys = np.array(rows["key"], np.int64)
-        pairs = np.sort(np.array([(keys[i], keys[j]) for i, j in found], np.int64), axis=1)
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    columns = ["h", "t", "u", "key", "n", "label", "part", "bitmap"]
-
     def run(batches):
-        rows: dict[str, list] = {c: [] for c in columns}
+        waiting: list[pa.RecordBatch] = []
+
+        def runs(batch):
+            new = np.zeros(batch.num_rows, bool)
+            for c in ("h", "t", "u"):
+                v = batch.column(c).to_numpy(zero_copy_only=False)
+                new[1:] |= v[1:] != v[:-1]
+            return np.cumsum(new)
+
         for batch in batches:
-            values = batch.to_pydict()
-            for i in range(batch.num_rows):
-                if rows["h"] and any(rows[c][0] != values[c][i] for c in ("h", "t", "u")):
-                    if (out := compare(rows)) is not None:
-                        yield out
-                    rows = {c: [] for c in columns}
-                for c in columns:
-                    rows[c].append(values[c][i])
-        if rows["h"] and (out := compare(rows)) is not None:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0]
+            number = runs(whole)
+            last = int(np.searchsorted(number, number[-1]))  # the last run may go on in the next batch
+            if last and (out := compare(whole.slice(0, last), number[:last])) is not None:
+                yield out
+            waiting = [whole.slice(last)]
+        if waiting and (out := compare(waiting[0], runs(waiting[0]))) is not None:
             yield out
 
     return common.materialize(dealt.select(*columns).mapInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
@@ -304,11 +354,10 @@ def component_table(docs: DataFrame) -> DataFrame:
     are null. An empty table gives an empty table.
     """
     sets = signatures(docs)
-    postings = _shared_postings(sets)
-    arrays = _arrays(docs, sets, postings.select("key").distinct())
-    first = components(_verified(_first_pairs(postings), arrays))
-    pairs = _other_pairs(postings, first, arrays)
-    more = _verified(pairs, arrays)
+    classes = common.materialize(sets.filter(f"n >= {WHOLE}").dropDuplicates(["key"]), "jaccard-classes")
+    postings = _shared_postings(classes)
+    first = components(_verified(docs, classes, _first_pairs(postings, classes)))
+    more = _verified(docs, classes, _other_pairs(postings, first, classes))
     of = lambda s: first.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
     # components so far are contracted to their labels; the new links join those
     joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -317,8 +366,8 @@ def component_table(docs: DataFrame) -> DataFrame:
     labels = first.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     alone = second.join(first.select("node"), "node", "left_anti").select("node", "label")
     labels = labels.unionByName(alone)
-    classes = sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    known = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
+    smallest = sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    known = smallest.join(labels.withColumnRenamed("node", "key"), "key", "left")
     known = known.select("key", "least", F.coalesce("label", "key").alias("label"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = common.materialize(known.join(least, "label").select("key", "component_id"), "jaccard-components")
