@@ -32,8 +32,8 @@ SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 0.0015, 20_000
 TILE_MEMBERS = 2048
 BROADCAST_IDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Bits of the parity bitmaps, and bytes of text hashed at once.
-BITS, SLICE_BYTES = 1024, 1 << 18
+#: Fewest and most bits of a parity bitmap (a power of two that grows with the set), and bytes of text hashed at once.
+BITS, MOST_BITS, SLICE_BYTES = 1024, 1 << 15, 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -134,21 +134,25 @@ def set_key(hashes: np.ndarray) -> int:
 
 def parity_bitmap(hashes: np.ndarray) -> bytes:
     """Bit i tells whether an odd number of hashes fall on i; differing bits bound the symmetric difference from below."""
-    return np.packbits(np.bincount(hashes & (BITS - 1), minlength=BITS).astype(np.uint8) & 1, bitorder="little").tobytes()
+    bits = min(MOST_BITS, max(BITS, 1 << (len(hashes) - 1).bit_length()))
+    return np.packbits(np.bincount(hashes & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _signature(hashes: np.ndarray, frequent: np.ndarray) -> tuple[int, int, list | np.ndarray, bytes | None]:
-    n = len(hashes)
-    key = set_key(hashes) if n else 0
-    if n < WHOLE:  # such sets are similar only if equal
-        return n, key, [], None
-    length, bitmap = n - least_overlap(n) + 1, parity_bitmap(hashes)
+def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with fewer words: halves laid over each other keep parity."""
+    while len(bitmap) > size:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def _prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    length = len(hashes) - least_overlap(len(hashes)) + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
         late = frequent[at] == hashes
         if late.any():
             hashes = np.concatenate([hashes[~late], hashes[late]])
-    return n, key, hashes[:length], bitmap
+    return hashes[:length]
 
 
 def _frequent_shingles(rows: DataFrame) -> np.ndarray:
@@ -168,22 +172,52 @@ def _frequent_shingles(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n, key of its set, its prefix postings and its bitmap; written to the shared folder."""
+def keyed_sets(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n and key of its set; written to the shared folder."""
     common.bounded_batches(docs.sparkSession)
-    rows = common.texts(docs)
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(rows))
 
     def run(batches):
         for batch in batches:
-            out = [_signature(hashes, frequent.value) for hashes in shingle_hashes(_utf8(batch.column(1)))]
-            n, key, prefix, bitmap = zip(*out) if out else ((), (), (), ())
+            sets = shingle_hashes(_utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())],
-                names=["doc_id", "n", "key", "prefix", "bitmap"],
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_key(x) if len(x) else 0 for x in sets], pa.int64())], names=["doc_id", "n", "key"]
             )
 
-    return common.materialize(rows.mapInArrow(run, "doc_id long, n int, key long, prefix array<long>, bitmap binary"), "jaccard-sets")
+    return common.materialize(common.texts(docs).mapInArrow(run, "doc_id long, n int, key long"), "jaccard-sets")
+
+
+def _of_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ``ids`` (doc_id)."""
+    ids = ids.select(F.col("doc_id").alias("id"))
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return common.texts(docs).join(near, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+
+def set_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, n, doc_id, bitmap and prefix postings of each class of equal sets, from its document with the least doc_id.
+
+    Sets of fewer than five shingles are similar only if equal and need none.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(common.texts(docs)))
+    least = common.materialize(sets.filter(f"n >= {WHOLE}").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "jaccard-least")
+
+    def run(batches):
+        for batch in batches:
+            sets = shingle_hashes(_utf8(batch.column(1)))
+            keep = [i for i, x in enumerate(sets) if len(x) >= WHOLE]
+            sets = [sets[i] for i in keep]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), batch.column(0).take(pa.array(keep, pa.int64())),
+                    pa.array([parity_bitmap(x) for x in sets], pa.binary()), pa.array([_prefix(x, frequent.value) for x in sets], pa.list_(pa.int64())),
+                ],
+                names=["key", "n", "doc_id", "bitmap", "prefix"],
+            )
+
+    made = _of_documents(docs, least).mapInArrow(run, "key long, n int, doc_id long, bitmap binary, prefix array<long>")
+    made = common.materialize(made, "jaccard-classes")
+    # rows that repeat a doc_id can bring a class twice
+    return made if made.count() == least.count() else common.materialize(made.dropDuplicates(["key"]), "jaccard-classes")
 
 
 def _shared_postings(classes: DataFrame) -> DataFrame:
@@ -212,22 +246,37 @@ def _shared_postings(classes: DataFrame) -> DataFrame:
     return common.materialize(posted.mapInArrow(run, "h long, key long, n int"), "jaccard-postings")
 
 
-def _bounded(n1: np.ndarray, n2: np.ndarray, map1: np.ndarray, map2: np.ndarray) -> np.ndarray:
-    """Whether the bitmaps leave room for similarity: the overlap is at most (n1 + n2 - differing bits) / 2."""
-    differ = np.bitwise_count(map1 ^ map2).sum(axis=1, dtype=np.int64)
+def _similar_sizes(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray) -> np.ndarray:
     overlap = (n1 + n2 - differ) // 2
     return WHOLE * overlap >= PART * (n1 + n2 - overlap)
 
 
-def _maps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(v.as_buffer() for v in column), np.uint64).reshape(len(column), BITS // 64)
+class Bitmaps:
+    """Bitmaps of different sizes, compared at the smaller size of a pair: first at the least size, then at that."""
+
+    def __init__(self, column: pa.Array):
+        self.full = [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+        self.size = np.array([len(x) for x in self.full], np.int64)
+        self.small = np.stack([folded(x, BITS // 64) for x in self.full]) if self.full else np.zeros((0, BITS // 64), np.uint64)
+
+    def possible(self, x: np.ndarray, other: Bitmaps, y: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+        """Whether the pairs (x[i], y[i]) leave room for similarity: the overlap is at most (n1 + n2 - differing bits) / 2."""
+        good = _similar_sizes(n1, n2, np.bitwise_count(self.small[x] ^ other.small[y]).sum(axis=1, dtype=np.int64))
+        size = np.minimum(self.size[x], other.size[y])
+        for width in np.unique(size[good & (size > BITS // 64)]).tolist():
+            at = np.flatnonzero(good & (size == width))
+            (ux, ix), (uy, iy) = np.unique(x[at], return_inverse=True), np.unique(y[at], return_inverse=True)
+            left, right = np.stack([folded(self.full[i], width) for i in ux]), np.stack([folded(other.full[i], width) for i in uy])
+            for low in range(0, len(at), 4096):
+                part = slice(low, low + 4096)
+                differ = np.bitwise_count(left[ix[part]] ^ right[iy[part]]).sum(axis=1, dtype=np.int64)
+                good[at[part]] = _similar_sizes(n1[at[part]], n2[at[part]], differ)
+        return good
 
 
 def _arrays(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     """key and sorted hashes of each class in ``keys``, taken from one document of the class."""
-    ids = common.materialize(classes.join(keys, "key", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "jaccard-needed")
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = common.texts(docs).join(near, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    rows = _of_documents(docs, common.materialize(classes.join(keys, "key", "left_semi").select("doc_id").distinct(), "jaccard-needed"))
 
     def run(batches):
         for batch in batches:
@@ -276,7 +325,9 @@ def _first_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n1, n2 = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(_bounded(n1, n2, _maps(batch.column(4)), _maps(batch.column(5)))))
+            at = np.arange(batch.num_rows)
+            good = Bitmaps(batch.column(4)).possible(at, Bitmaps(batch.column(5)), at, n1, n2)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_map", "b_map")
     return common.materialize(known.mapInArrow(run, "a long, b long"), "jaccard-first")
@@ -300,7 +351,7 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) ->
     def compare(batch: pa.RecordBatch, run: np.ndarray):
         """Members of a run stand in order of size; those d places apart are compared for d = 1, 2, ..."""
         key, n, label, part, t, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label", "part", "t", "u"))
-        n, maps, found = n.astype(np.int64), _maps(batch.column("bitmap")), []
+        n, maps, found = n.astype(np.int64), Bitmaps(batch.column("bitmap")), []
         i = np.arange(len(n))
         for d in range(1, len(n)):
             i = i[i + d < len(n)]
@@ -313,7 +364,7 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) ->
             a, b = i[some], j[some]
             for low in range(0, len(a), 1 << 16):
                 x, y = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
-                good = _bounded(n[x], n[y], maps[x], maps[y])
+                good = maps.possible(x, maps, y, n[x], n[y])
                 if good.any():
                     found.append(np.stack([np.minimum(key[x[good]], key[y[good]]), np.maximum(key[x[good]], key[y[good]])], axis=1))
         if not found:
@@ -353,8 +404,8 @@ def component_table(docs: DataFrame) -> DataFrame:
     Rows of equal sets are linked whatever their doc_ids; null doc_ids count in no minimum unless all of a component
     are null. An empty table gives an empty table.
     """
-    sets = signatures(docs)
-    classes = common.materialize(sets.filter(f"n >= {WHOLE}").dropDuplicates(["key"]), "jaccard-classes")
+    sets = keyed_sets(docs)
+    classes = set_classes(docs, sets)
     postings = _shared_postings(classes)
     first = components(_verified(docs, classes, _first_pairs(postings, classes)))
     more = _verified(docs, classes, _other_pairs(postings, first, classes))
