@@ -52,13 +52,12 @@ def view_of_detectors(d1: Column, d2: Column, n: int) -> tuple[Column, Column, C
     """View, tangential position and whether the pair was exchanged, for detectors numbered 0 to n - 1 on a ring."""
     t = F.pmod(d1 - d2 + F.lit(3 * n // 2), F.lit(n))
     v = F.pmod(d1 - F.shiftright(t, 1) + n, F.lit(n))
-    # fold the view to half a turn; half a turn back exchanges the detectors and mirrors the position
-    late, far = v >= n // 2, t >= n // 2
-    view = F.when(late, v - n // 2).otherwise(v)
-    tang = F.when(far, t - n).otherwise(t)
-    tang = F.when(late, -tang).otherwise(tang)
-    wrapped = tang == n // 2
-    return view, F.when(wrapped, F.lit(-(n // 2))).otherwise(tang), late
+    # the view is folded to half a turn, the position to about 0; exactly one of the two exchanges the detectors
+    half = n // 2
+    early, near = v < half, t < half
+    view = F.when(early, v).otherwise(v - half)
+    tang = F.when(early & near, t).when(early, n - t).when(near, -t).otherwise(t - n)
+    return view, tang, early != near
 
 
 def detectors_of_view(view: Column, tang: Column, n: int) -> tuple[Column, Column]:

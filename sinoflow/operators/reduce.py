@@ -39,9 +39,9 @@ def roi_values(voxels: DataFrame, weight: Column, by: list[str], volume: float =
 
 def weighted_line(rows: DataFrame, by: list[str], x: Column, y: Column, w: Column) -> DataFrame:
     """Weighted least-squares line: slope, intercept, their variances and covariance, chi square."""
-    s = rows.select(*by, x.alias("x"), y.alias("y"), w.alias("w")).groupBy(*by).agg(
-        F.sum("w").alias("s"), F.sum(F.expr("w*x")).alias("sx"), F.sum(F.expr("w*y")).alias("sy"), F.sum(F.expr("w*x*x")).alias("sxx"), F.sum(F.expr("w*x*y")).alias("sxy"), F.sum(F.expr("w*y*y")).alias("syy"),
-    )
+    s = rows.select(*by, x.alias("__x"), y.alias("__y"), w.alias("__w")).groupBy(*by).agg(
+        *(F.sum(F.expr(e)).alias(n) for n, e in {"s": "__w", "sx": "__w*__x", "sy": "__w*__y", "sxx": "__w*__x*__x", "sxy": "__w*__x*__y", "syy": "__w*__y*__y"}.items())
+    )
     s = s.withColumn("stt", F.expr("sxx - sx*sx/s")).withColumn("sty", F.expr("sxy - sx*sy/s")).filter("s > 0 and stt > 0")
     s = s.withColumn("slope", F.expr("sty/stt")).withColumn("intercept", F.expr("(sy - sx*sty/stt)/s"))
     return s.select(
