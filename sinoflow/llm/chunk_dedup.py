@@ -76,7 +76,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
             texts = [v.as_py().encode("utf-8", "surrogatepass") for v in batch.column(1)]
             sizes = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(sizes)

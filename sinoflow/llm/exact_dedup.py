@@ -16,6 +16,9 @@ from sinoflow.llm import common
 
 _STATE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Number of state stores, and the rows that each is meant for. A store keeps a file of some MB however few its keys.
+_STORES = "spark.sql.streaming.internal.stateStore.partitions"
+LEAST_STORES, ROWS_PER_STORE = 12, 500_000
 #: Most repeated digests (about 60 bytes each) that are broadcast; beyond that they are joined by shuffle.
 BROADCAST_DIGESTS = 400_000
 
@@ -30,8 +33,9 @@ def stream_groups(spark: SparkSession, path: str, schema) -> DataFrame:
     The digests are read as a stream until none is left. Each micro-batch writes the keys that it touched under its
     own number, so a repeated batch overwrites itself; both values only grow, so the last state is their maximum.
     """
-    before = spark.conf.get(_STATE)
+    before = {k: spark.conf.get(k, None) for k in (_STATE, _STORES)}
     spark.conf.set(_STATE, _ROCKSDB)
+    spark.conf.set(_STORES, max(LEAST_STORES, spark.read.schema(schema).parquet(path).count() // ROWS_PER_STORE))
     out = common.fresh_path(spark, "dedup-groups")
     try:
         grouped = (
@@ -50,7 +54,8 @@ def stream_groups(spark: SparkSession, path: str, schema) -> DataFrame:
         query.awaitTermination()
         batches = 1 + (query.lastProgress["batchId"] if query.lastProgress else 0)
     finally:
-        spark.conf.set(_STATE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     fields = "digest binary, keep struct<doc_id: bigint, row: bigint, file: string>, group_size long, batch int"
     groups = spark.read.schema(fields).parquet(out)
     if batches == 1:
