@@ -63,7 +63,8 @@ def mod97(account: Column) -> Column:
         letter = F.ascii(c) - 55
         return F.when(letter >= 10, (rest * 100 + letter) % 97).otherwise((rest * 10 + F.ascii(c) - 48) % 97)
 
-    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), add) == 1
+    characters = F.transform(F.sequence(F.lit(1), F.length(moved)), lambda i: F.substring(moved, i, F.lit(1)))
+    return F.aggregate(characters, F.lit(0), add) == 1
 
 
 def _confirmed(kind: str, match: Column) -> Column:
