@@ -10,6 +10,8 @@ lost task counts and any store that Spark can write will do.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -68,15 +70,35 @@ def unpack(sizes: list[int], payload: bytes, n_ids: int, block_ids: int = BLOCK_
     return ids
 
 
+#: A word and the marks behind it, which this kind of vocabulary never joins.
+_MARKED = re.compile(r"([A-Za-z]+)([.,;:!?#$%&*]+)")
+
+
 @lru_cache(maxsize=4)
 def _id_bytes(path: str) -> bpe.PieceCache:
-    """Little-endian ids of a piece as the tokenizers library encodes it."""
+    """Little-endian ids of a piece as the tokenizers library encodes it.
+
+    A vocabulary that lower-cases and cuts marks from words lets "The," share the entries of "the" and ",".
+    """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    return bpe.PieceCache(lambda piece: np.array(library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = "Lowercase" in json.dumps(spec["normalizer"]) and "[^\\s\\p{L}\\p{N}]+" in [x.get("pattern", {}).get("Regex", "")[-18:] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+
+    def make(piece: str) -> bytes:
+        if plain and piece.isascii():
+            if marked := _MARKED.fullmatch(piece):
+                return known[marked[1].lower()] + known[marked[2]]
+            if piece.isalpha() and not piece.islower():
+                return known[piece.lower()]
+        return np.array(library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    known = bpe.PieceCache(make)
+    return known
 
 
 def write_planes(
