@@ -87,7 +87,8 @@ def _id_bytes(path: str) -> bpe.PieceCache:
     library.no_padding()
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    plain = "Lowercase" in json.dumps(spec["normalizer"]) and "[^\\s\\p{L}\\p{N}]+" in [x.get("pattern", {}).get("Regex", "")[-18:] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    cuts = [x["pattern"].get("Regex", "") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if "pattern" in x]
+    plain = "Lowercase" in json.dumps(spec["normalizer"]) and any(c.endswith(r"[^\s\p{L}\p{N}]+") for c in cuts)
 
     def make(piece: str) -> bytes:
         if plain and piece.isascii():
