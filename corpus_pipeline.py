@@ -41,7 +41,7 @@ STAGES = [
     ("BPE encoding and decoding", token_stage),
 ]
 
-#: The classifier's model and the encoding are beyond SQL; tests/llm holds the stages against plain Python.
+#: The classifier's model and the encoding are beyond SQL; tests/llm holds the operators of the stages against plain Python.
 ORACLE_SQL = None
 
 
