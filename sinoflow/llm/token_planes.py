@@ -70,36 +70,97 @@ def unpack(sizes: list[int], payload: bytes, n_ids: int, block_ids: int = BLOCK_
     return ids
 
 
+#: Entries of one generation of a worker's cache.
+CACHE_PIECES = 400_000
 #: A word and the marks behind it, which this kind of vocabulary never joins.
 _MARKED = re.compile(r"([A-Za-z]+)([.,;:!?#$%&*]+)")
 
 
-@lru_cache(maxsize=4)
-def _id_bytes(path: str) -> bpe.PieceCache:
-    """Little-endian ids of a piece as the tokenizers library encodes it.
+class PieceIds:
+    """Little-endian ids of white-space separated pieces as the tokenizers library encodes them.
 
-    A vocabulary that lower-cases and cuts marks from words lets "The," share the entries of "the" and ",".
+    A vocabulary that lower-cases and cuts marks from words lets "The," share the entries of "the" and ",". New words of a
+    document are then encoded in one call: each ends in a token that carries the vocabulary's word end, so the ids are
+    cut there. The cache has two generations: when the young one is full it becomes the old one, and pieces still
+    in use move over from there.
     """
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    cuts = [x["pattern"].get("Regex", "") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if "pattern" in x]
-    plain = "Lowercase" in json.dumps(spec["normalizer"]) and any(c.endswith(r"[^\s\p{L}\p{N}]+") for c in cuts)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        cuts = [x["pattern"].get("Regex", "") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if "pattern" in x]
+        self.plain = bool(suffix) and "Lowercase" in json.dumps(spec["normalizer"]) and any(c.endswith(r"[^\s\p{L}\p{N}]+") for c in cuts)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        if self.plain:
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        # plain dicts: a set subtracts them by look-ups
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def document(self, pieces: list[str]) -> bytes:
+        """Ids of all pieces of a document."""
+        if len(self.young) >= CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        young = self.young
+        if fresh := set(pieces).difference(young):
+            short = [p for p in fresh if len(p) <= bpe.CACHE_CHARS]
+            self._learn(short)
+            if len(short) < len(fresh):  # pieces too long to be kept
+                return b"".join([young[p] if p in young else self._encoded(p).tobytes() for p in pieces])
+        return b"".join(map(young.__getitem__, pieces))
+
+    def _learn(self, pieces: list[str]) -> None:
+        parts, single, young = {}, set(), self.young
+        for piece in pieces:
+            if (known := self.old.get(piece)) is not None:
+                young[piece] = known
+            elif not self.plain or not piece.isascii():
+                single.add(piece)  # other letters may become letters and marks when normalised
+            elif marked := _MARKED.fullmatch(piece):
+                parts[piece] = (marked[1].lower(), marked[2])
+            elif piece.isalpha() and not piece.islower():
+                parts[piece] = (piece.lower(),)
+            else:
+                single.add(piece)
+        for words in parts.values():
+            single.update(words)
+        # letters alone never mix with their neighbours
+        joint, odd = [], []
+        for word in single:
+            if word not in young:
+                if (known := self.old.get(word)) is not None:
+                    young[word] = known
+                elif self.plain and word.isalpha():
+                    joint.append(word)
+                else:
+                    odd.append(word)
+        if joint:
+            ids = self._encoded(" ".join(joint))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(joint):
+                data, at = ids.tobytes(), 0
+                for word, stop in zip(joint, (4 * stops).tolist(), strict=True):
+                    young[word], at = data[at:stop], stop
+            else:  # a letter whose lower case is more than letters
+                odd += joint
+        for word in odd:
+            young[word] = self._encoded(word).tobytes()
+        for piece, words in parts.items():
+            young[piece] = b"".join([young[w] for w in words])
 
-    def make(piece: str) -> bytes:
-        if plain and piece.isascii():
-            if marked := _MARKED.fullmatch(piece):
-                return known[marked[1].lower()] + known[marked[2]]
-            if piece.isalpha() and not piece.islower():
-                return known[piece.lower()]
-        return np.array(library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    known = bpe.PieceCache(make)
-    return known
+@lru_cache(maxsize=4)
+def _piece_ids(path: str) -> PieceIds:
+    return PieceIds(path)
 
 
 def write_planes(
@@ -124,7 +185,7 @@ def write_planes(
     def run(batches):
         from pyspark import TaskContext
 
-        shard, get = TaskContext.get().partitionId(), _id_bytes(tokenizer).__getitem__
+        shard, encode = TaskContext.get().partitionId(), _piece_ids(tokenizer).document
         end = np.array([end_id], "<u4").tobytes()
         chunk = first = waiting = 0
         names: list = []
@@ -144,7 +205,7 @@ def write_planes(
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = b"".join(map(get, bpe.pieces(value.as_py()))) + end
+                data = encode(bpe.pieces(value.as_py())) + end
                 names.append(name)
                 lengths.append(len(data) // 4)
                 parts.append(data)

@@ -58,6 +58,17 @@ def test_digests(spark, odd):
     assert bpe.digest_table(rows(spark, []), PATH).count() == 0
 
 
+def test_piece_cache_is_exact(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(PATH), token_planes.PieceIds(PATH)
+    monkeypatch.setattr(token_planes, "CACHE_PIECES", 50)
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abtheinrao  'ÀéİΑΣﬁ̂日12.,!#<|endoftext|>\x1c\x85́ªʰ"), 80)) for _ in range(800)] + ["", "<|endoftext|>", "İstanbul The, the THE. the,", "y" * 3000]
+    for t in texts + texts[:20]:
+        assert np.frombuffer(own.document(bpe.pieces(t)), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip(bits):
     ids = np.random.default_rng(1).integers(0, 1 << 31, 70_001).astype("<u4")
