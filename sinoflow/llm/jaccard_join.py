@@ -7,7 +7,8 @@
    inside a component need no further look, so a group of copies does not cost its square.
 4. In every posting with more than one component, dealt out in tiles, members sorted by size are compared over the band
    of sizes that can be similar: parity bitmaps bound the overlap from above by their differing bits. Pairs that survive are
-   verified by intersecting the sorted hash arrays.
+   verified by intersecting the sorted hash arrays. Early rounds take of each tile only a spanning forest of such pairs, at
+   most one a member; their links contract what is still apart, and a last round takes all pairs between what is left.
 
 Step 2's order puts shingles that a bounded sample shows to be frequent last. Any order is right; this one keeps
 shared passages out of the postings.
@@ -30,6 +31,8 @@ PART, WHOLE = 4, 5
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 0.0015, 20_000
 #: Members of a posting compared in one piece; larger postings are dealt out as pairs of such tiles.
 TILE_MEMBERS = 2048
+#: Rounds of spanning forests before all remaining pairs are taken.
+FOREST_ROUNDS = 2
 BROADCAST_IDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Fewest and most bits of a parity bitmap (a power of two that grows with the set), and bytes of text hashed at once.
@@ -333,8 +336,45 @@ def _first_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
     return common.materialize(known.mapInArrow(run, "a long, b long"), "jaccard-first")
 
 
-def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of classes in different components that share a posting and pass the bitmap bound."""
+class Forest:
+    """Union-find over the components of the members of tiles."""
+
+    def __init__(self, run: np.ndarray, label: np.ndarray):
+        _, self.part = np.unique(np.stack([run.astype(np.int64), label]), axis=1, return_inverse=True)
+        self.part = self.part.ravel()
+        self.up = np.arange(len(self.part))
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.up[self.part[x]] != self.up[self.part[y]]
+
+    def take(self, x: np.ndarray, y: np.ndarray) -> list[int]:
+        """Places of the pairs that join two trees when taken in order; joins them."""
+        up: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while i in up:
+                i = up[i]
+            return i
+
+        taken = []
+        for k, (i, j) in enumerate(zip(self.up[self.part[x]].tolist(), self.up[self.part[y]].tolist(), strict=True)):
+            i, j = root(i), root(j)
+            if i != j:
+                up[max(i, j)] = min(i, j)
+                taken.append(k)
+        if up:
+            joined = np.arange(len(self.up))
+            joined[list(up)] = [root(i) for i in up]
+            self.up = joined[self.up]
+        return taken
+
+
+def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, forest_round: int | None = None) -> DataFrame:
+    """All pairs of classes in different components that share a posting and pass the bitmap bound.
+
+    With ``forest_round``, only pairs that join trees within their tile; rounds after the first look at half of all
+    pairs, each round at another, lest the same dissimilar pairs stand in the way again.
+    """
     known = postings.join(labels.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("label", "key").alias("label"))
     mixed = known.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2")
     tiles = F.ceil(F.col("members") / TILE_MEMBERS).cast("int")
@@ -352,6 +392,7 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) ->
         """Members of a run stand in order of size; those d places apart are compared for d = 1, 2, ..."""
         key, n, label, part, t, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label", "part", "t", "u"))
         n, maps, found = n.astype(np.int64), Bitmaps(batch.column("bitmap")), []
+        forest = None if forest_round is None else Forest(run, label)
         i = np.arange(len(n))
         for d in range(1, len(n)):
             i = i[i + d < len(n)]
@@ -361,12 +402,20 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) ->
                 break
             j = i + d
             some = (label[i] != label[j]) & ((t[i] == u[i]) | (part[i] != part[j]))
+            if forest is not None:
+                some &= forest.apart(i, j)
+                if forest_round:
+                    some &= ((key[i] ^ key[j]) >> forest_round) & 1 == 1
             a, b = i[some], j[some]
             for low in range(0, len(a), 1 << 16):
                 x, y = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
                 good = maps.possible(x, maps, y, n[x], n[y])
-                if good.any():
-                    found.append(np.stack([np.minimum(key[x[good]], key[y[good]]), np.maximum(key[x[good]], key[y[good]])], axis=1))
+                x, y = x[good], y[good]
+                if forest is not None and len(x):
+                    taken = forest.take(x, y)
+                    x, y = x[taken], y[taken]
+                if len(x):
+                    found.append(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], axis=1))
         if not found:
             return None
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -397,6 +446,17 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) ->
     return common.materialize(dealt.select(*columns).mapInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after its components are contracted and the new links join them."""
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
+    links = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    second = components(links.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    top = second.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    known = labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = second.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return common.materialize(known.unionByName(alone), "jaccard-labels")
+
+
 def component_table(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable over links of similarity 0.8 or more).
 
@@ -407,16 +467,13 @@ def component_table(docs: DataFrame) -> DataFrame:
     sets = keyed_sets(docs)
     classes = set_classes(docs, sets)
     postings = _shared_postings(classes)
-    first = components(_verified(docs, classes, _first_pairs(postings, classes)))
-    more = _verified(docs, classes, _other_pairs(postings, first, classes))
-    of = lambda s: first.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
-    # components so far are contracted to their labels; the new links join those
-    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    second = components(joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
-    top = second.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    labels = first.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    alone = second.join(first.select("node"), "node", "left_anti").select("node", "label")
-    labels = labels.unionByName(alone)
+    labels = components(_verified(docs, classes, _first_pairs(postings, classes)))
+    for forest_round in (*range(FOREST_ROUNDS), None):
+        pairs = _other_pairs(postings, labels, classes, forest_round)
+        if not pairs.isEmpty():
+            labels = _joined(labels, _verified(docs, classes, pairs))
+        elif not forest_round:  # the first round and the last look at all pairs
+            break
     smallest = sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     known = smallest.join(labels.withColumnRenamed("node", "key"), "key", "left")
     known = known.select("key", "least", F.coalesce("label", "key").alias("label"))
