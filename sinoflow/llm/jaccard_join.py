@@ -31,8 +31,8 @@ PART, WHOLE = 4, 5
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 0.0015, 20_000
 #: Members of a posting compared in one piece; larger postings are dealt out as pairs of such tiles.
 TILE_MEMBERS = 2048
-#: Rounds of spanning forests before all remaining pairs are taken.
-FOREST_ROUNDS = 2
+#: Rounds of spanning forests (each rereads the texts of its pairs) before all remaining pairs are taken.
+FOREST_ROUNDS = 1
 BROADCAST_IDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Fewest and most bits of a parity bitmap (a power of two that grows with the set), and bytes of text hashed at once.
