@@ -288,8 +288,13 @@ def _arrays(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
                 [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"]
             )
 
-    made = rows.mapInArrow(run, "key long, hashes binary")
-    return common.materialize(made.dropDuplicates(["key"]), "jaccard-arrays")
+    made = common.materialize(rows.mapInArrow(run, "key long, hashes binary"), "jaccard-arrays")
+    if made.count() == made.select("key").distinct().count():
+        return made
+    # rows that repeat a doc_id can bring a class twice
+    once = common.materialize(made.dropDuplicates(["key"]), "jaccard-arrays")
+    common.discard(made)
+    return once
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -311,7 +316,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
     common.bounded_batches(pairs.sparkSession)
     checked = joined.select("a", "b", "a_hashes", "b_hashes").mapInArrow(run, "a long, b long")
-    return common.materialize(checked, "jaccard-links")
+    links = common.materialize(checked, "jaccard-links")
+    common.discard(arrays)  # as long as the texts they come from, and of no use to later rounds
+    return links
 
 
 def _first_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
