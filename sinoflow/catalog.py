@@ -396,3 +396,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+from sinoflow import catalog_recon  # noqa: E402, F401  registers its queries

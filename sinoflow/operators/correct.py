@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinoflow.operators.reduce import weighted_line
+from sinoflow.sources.tables import saved
 
 
 def efficiencies(bins: DataFrame, detectors: DataFrame) -> DataFrame:
@@ -73,3 +74,53 @@ def patlak(frames: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
     rows = frames.join(F.broadcast(model), "frame")
     line = weighted_line(rows, by, F.col("integral") / F.col("plasma"), F.col("value") / F.col("plasma"), F.lit(1.0))
     return line.select(*by, F.col("slope").alias("ki"), F.col("intercept").alias("vb"))
+
+
+def divide_and_truncate(bins: DataFrame, viewgram: list[str], rim: tuple[int, int], small: float = 1e-6, most: float = 10_000.0) -> DataFrame:
+    """``num`` over ``den``: 0 where both are small against the viewgram's largest numerator, at most ``most``, 0 outside the rim."""
+    least = F.max("num").over(Window.partitionBy(*viewgram)) * small
+    quotient = F.when((F.abs("num") <= least) & (F.abs("den") <= least), 0.0).otherwise(F.least(F.coalesce(F.try_divide("num", "den"), F.lit(most)), F.lit(most)))
+    return bins.withColumn("value", F.when(F.col("tang").between(*rim), quotient).otherwise(0.0))
+
+
+def triple_energy_window(windows: DataFrame, keys: list[str], widths: tuple[float, float, float]) -> DataFrame:
+    """Scatter of the main window from those below and above it (columns low, main, high): a trapezoid between their rates."""
+    low, main, high = widths
+    scatter = (F.col("low") / low + F.col("high") / high) * (main / 2)
+    return windows.select(*keys, scatter.alias("scatter"), F.greatest(F.col("main") - scatter, F.lit(0.0)).alias("value"))
+
+
+def precorrect(bins: DataFrame, undo: bool = False) -> DataFrame:
+    """(value - randoms) * norm * acf - scatter, for columns of these names; ``undo`` reverts it."""
+    factor = F.col("norm") * F.col("acf")
+    done = (F.col("value") + F.col("scatter")) / factor + F.col("randoms") if undo else (F.col("value") - F.col("randoms")) * factor - F.col("scatter")
+    return bins.withColumn("value", done)
+
+
+def block_sums(pairs: DataFrame, crystals: int) -> DataFrame:
+    """Detector-pair data summed over pairs of blocks of ``crystals`` detectors."""
+    block = lambda c: F.floor(F.col(c) / crystals).cast("int")
+    return pairs.groupBy(block("d1").alias("b1"), block("d2").alias("b2")).agg(F.sum("value").alias("value"))
+
+
+def ml_efficiencies(pairs: DataFrame, detectors: DataFrame, n_updates: int) -> DataFrame:
+    """Maximum-likelihood detector efficiencies (det, eff) from pairs (d1, d2, value, model), damped simultaneous updates.
+
+    eff <- eff * sqrt(fan sum of the data / fan sum of the model times both efficiencies); from 1 at every detector.
+    """
+    ends = F.explode(F.array(F.struct(F.col("d1").alias("det"), F.col("d2").alias("other")), F.struct(F.col("d2").alias("det"), F.col("d1").alias("other"))))
+    both = pairs.filter("d1 <> d2").select(ends.alias("e"), "value", "model").select("e.det", "e.other", "value", "model")
+    both = saved(both.groupBy("det", "other").agg(F.sum("value").alias("value"), F.sum("model").alias("model")), "fans")
+    eff = detectors.select("det", F.lit(1.0).alias("eff"))
+    for _ in range(n_updates):
+        other = eff.select(F.col("det").alias("other"), F.col("eff").alias("far"))  # a scanner's size
+        fans = both.join(F.broadcast(other), "other").groupBy("det").agg(F.sum("value").alias("fan"), F.sum(F.col("model") * F.col("far")).alias("expected"))
+        factor = F.coalesce(F.sqrt(F.try_divide(F.col("fan"), F.col("expected") * F.col("eff"))), F.lit(0.0))
+        eff = saved(eff.join(fans, "det", "left").select("det", (F.col("eff") * factor).alias("eff")), "eff")
+    return eff
+
+
+def dynamic_from_parameters(parameters: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """Dynamic image of a linear kinetic model: per frame ki * integral + vb * plasma; ``model`` has a row a frame."""
+    rows = parameters.crossJoin(F.broadcast(model))  # frames are few
+    return rows.select(*keys, "frame", (F.col("ki") * F.col("integral") + F.col("vb") * F.col("plasma")).alias("value"))

@@ -103,3 +103,26 @@ def floor_at_smallest(voxels: DataFrame, by: list[str], small: float = 1e-6) ->
     """Values below ``small`` times the smallest positive one are set to that."""
     least = F.min(F.when(F.col("value") > 0, F.col("value"))).over(Window.partitionBy(*by)) * small
     return voxels.withColumn("value", F.greatest("value", least))
+
+
+def wiener_planes(voxels: DataFrame, by: list[str]) -> DataFrame:
+    """Per plane, adaptive smoothing towards the mean of 3 x 3 pixels; the noise level is the plane's mean local variance.
+
+    Pixels without all eight neighbours keep their value; they count in the mean's size with variance zero.
+    """
+    box = [((0, dy, dx), 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    key = [*by, *AXES]
+    local = sent(voxels, by, box).groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.avg("v").alias("mean"), F.avg(F.col("v") * F.col("v")).alias("square"))
+    rows = voxels.join(local, key).withColumn("var", F.when(F.col("k") == 9, F.col("square") - F.col("mean") * F.col("mean")).otherwise(0.0))
+    rows = rows.withColumn("noise", F.avg("var").over(Window.partitionBy(*by, "z")))
+    excess = F.greatest(F.col("var") - F.col("noise"), F.lit(0.0))
+    smooth = F.coalesce(F.try_divide(F.col("value") - F.col("mean"), F.greatest("var", "noise")) * excess, F.lit(0.0)) + F.col("mean")
+    return rows.select(*key, F.when(F.col("k") == 9, smooth).otherwise(F.col("value")).alias("value"))
+
+
+def median_root_prior(voxels: DataFrame, by: list[str], radius: int, beta: float, most: float = 1000.0) -> DataFrame:
+    """Gradient beta * (value / its median - 1), the quotient kept within ``most``; this prior's value is always 0."""
+    filtered = rank_filter(voxels, by, radius, "median").withColumnRenamed("value", "filtered")
+    ratio = F.coalesce(F.try_divide(F.col("value"), F.col("filtered")), F.when(F.col("value") == 0, 0.0).otherwise(F.signum("value") * most))
+    ratio = F.least(F.greatest(ratio, F.lit(-most)), F.lit(most))
+    return voxels.join(filtered, [*by, *AXES]).select(*by, *AXES, (beta * (ratio - 1)).alias("gradient"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str = "recon") -> DataFrame:
+    """Written to the shared folder and read again: an iteration never repeats those before it."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projection bins from ``lineitem``: key, value (quantity) and weight (discount), many rows a bin."""
     i = lambda c: c.cast("int")
@@ -39,10 +55,18 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List-mode records from ``events``: record number, time in ms since the first, kind, and detectors on a ring of 64."""
     e = load(spark, sf_dir, "events")
-    first = e.agg(F.min("ts").alias("t0"))
+    return _records(e.crossJoin(F.broadcast(e.agg(F.min("ts").alias("t0")))))  # one row
+
+
+def as_records(events: DataFrame, first) -> DataFrame:
+    """The same from a stream of events, its first time given."""
+    return _records(events.withColumn("t0", F.lit(first)))
+
+
+def _records(e: DataFrame) -> DataFrame:
     ms = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1000)
     d1, d2 = F.pmod("user_id", F.lit(64)).cast("int"), F.pmod(F.col("user_id") * 7 + F.col("event_id"), F.lit(64)).cast("int")
-    return e.crossJoin(F.broadcast(first)).select(  # one row
+    return e.select(
         F.col("event_id").alias("rec_no"), ms.alias("time_ms"), (F.col("event_type") != "error").alias("is_prompt"), F.col("event_type").alias("kind"),
         d1.alias("d1"), d2.alias("d2"), F.pmod("event_id", F.lit(8)).cast("int").alias("ring"),
     )
