@@ -27,6 +27,8 @@ from sinoflow.llm.components import components
 SHINGLE = 5
 #: Similarity as a fraction, so that the test is in whole numbers.
 PART, WHOLE = 4, 5
+#: Shingles of the smallest set that a larger one can be similar to: the least n with n / (n + 1) >= PART / WHOLE.
+LEAST = -(-PART // (WHOLE - PART))
 #: The planning sample of step 2 (documents; least share of them that makes a shingle frequent; most such shingles).
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 0.0015, 20_000
 #: Members of a posting compared in one piece; larger postings are dealt out as pairs of such tiles.
@@ -199,15 +201,15 @@ def _of_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def set_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """key, n, doc_id, bitmap and prefix postings of each class of equal sets, from its document with the least doc_id.
 
-    Sets of fewer than five shingles are similar only if equal and need none.
+    Sets of fewer than ``LEAST`` shingles are similar only if equal and need none.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(common.texts(docs)))
-    least = common.materialize(sets.filter(f"n >= {WHOLE}").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "jaccard-least")
+    least = common.materialize(sets.filter(f"n >= {LEAST}").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "jaccard-least")
 
     def run(batches):
         for batch in batches:
             sets = shingle_hashes(_utf8(batch.column(1)))
-            keep = [i for i, x in enumerate(sets) if len(x) >= WHOLE]
+            keep = [i for i, x in enumerate(sets) if len(x) >= LEAST]
             sets = [sets[i] for i in keep]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -283,7 +285,7 @@ def _arrays(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [x for x in shingle_hashes(_utf8(batch.column(1))) if len(x) >= WHOLE]
+            sets = [x for x in shingle_hashes(_utf8(batch.column(1))) if len(x) >= LEAST]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"]
             )

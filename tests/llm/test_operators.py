@@ -170,6 +170,16 @@ def test_jaccard_components(spark, odd):
     assert got == brute_components(texts)
 
 
+def test_jaccard_of_four_shingles(spark):
+    texts = [
+        (1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "z a b c d e f g h"), (4, "a b c d e f g"), (5, "p q r s t u v"), (6, "p q r s t u v w"),
+        (7, "k l m n o k l m n o k l"), (8, "k l m n o k l m n o x"), (9, "x k l m n o k l m"), (10, "A b C d e f g h"),
+    ]
+    got = sorted(map(tuple, jaccard_join.component_table(rows(spark, texts)).collect()), key=str)
+    assert got == brute_components(texts)
+    assert {r[0] for r in got if r[2] == 1} == {1, 2, 3, 10}
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.component_table(rows(spark, [])).count() == 0
     got = jaccard_join.component_table(rows(spark, [(1, None), (2, ""), (3, "a b"), (4, "A b")])).collect()
