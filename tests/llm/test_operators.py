@@ -264,6 +264,19 @@ def test_quality(spark, odd):
     assert quality.quality_table(rows(spark, []), labels).count() == 0
 
 
+def test_quality_knows_words(spark):
+    """Texts of wrong words of ordinary length and endings are no trusted text; words beyond the commonest 200 are known."""
+    rng = np.random.default_rng(8)
+    made = lambda letters: "".join(rng.choice(list(letters), int(rng.integers(4, 8))))
+    known, wrong = ([made(x) for _ in range(600)] for x in ("abcdefgh", "stuvwxyz"))
+    text = lambda words: " ".join(rng.choice(words, 80)) + "."
+    texts = [(i, text(known)) for i in range(600)] + [(1000 + i, text(wrong)) for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality_table(rows(spark, texts), labels).collect()}
+    assert np.mean([got[i].kept for i in range(500, 600)]) >= 0.95 and not any(got[1000 + i].kept for i in range(50))
+    assert all(got[i].perplexity < 1000 for i in range(600)) and len(got) == len(texts)
+
+
 def test_kneser_ney_sums_to_one(spark):
     rng = np.random.default_rng(4)
     c = rng.integers(0, 9, 3000)
