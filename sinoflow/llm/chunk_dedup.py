@@ -1,8 +1,8 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text. Where it hits a mask at the start of a word, and no other hit lies in the
-few words before, a chunk ends. The rule looks back a fixed number of bytes only, so insertions move no borders
-beyond their surroundings. Chunks with a digest that several documents have are repeats; neighbouring repeats are
+A gear hash rolls over the bytes of a text. Of every SPAN neighbouring words, the one before which the hash is least begins
+a chunk, the last of equal ones. So no chunk inside a text has more than SPAN words, a passage that repeats itself
+has borders at its period, and insertions move no borders beyond their surroundings. Chunks with a digest that several documents have are repeats; neighbouring repeats are
 joined, and a run of enough words is reported.
 """
 
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from sinoflow.llm import common
 
-#: Bytes that the gear hash depends on, the mask of its bits that must be zero, and the words between two borders.
-WINDOW, MASK, APART = 16, 0x3, 3
+#: Bytes that the gear hash depends on, and words of which one begins a chunk. In a passage of 50 words whose first 11 hold
+#: WINDOW bytes, the borders that do not depend on the text around it span 50 + 1 - 11 - 2 * SPAN = 16 words at least.
+WINDOW, SPAN = 16, 12
 #: Words of a run of repeated chunks that make it a repeated passage.
 MIN_WORDS = 16
 _SPACES = np.zeros(256, bool)
@@ -44,6 +45,19 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of the least value, the last of equal ones, of every SPAN neighbours of one text."""
+    if len(h) < SPAN:
+        return np.zeros(0, np.int64)
+    place, width = np.arange(len(h)), 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        left, right = place[:-step], place[step:]
+        place = np.where(h[right] <= h[left], right, left)
+        width += step
+    return np.unique(place[text[: len(place)] == text[SPAN - 1 :]])
+
+
 def borders(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Borders of chunks in a buffer of texts, ascending and with every non-empty text's start; words up to each byte; the text of each border."""
     space = _SPACES[data]
@@ -54,15 +68,11 @@ def borders(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     words = np.cumsum(first)
     at = np.flatnonzero(first)
     at = at[at > 0]
-    at = at[((gear_hash(data)[at - 1] >> np.uint64(24)) & np.uint64(MASK)) == 0]
     text = np.searchsorted(starts[full], at, side="right") - 1
     begins = starts[full][text] if len(at) else at
     inside = at - begins >= WINDOW  # nearer the start the hash would see the text before
     at, text = at[inside], text[inside]
-    if len(at):
-        near = np.zeros(len(at), bool)
-        near[1:] = (text[1:] == text[:-1]) & (words[at[1:]] - words[at[:-1]] < APART)
-        at = at[~near]
+    at = at[_least(gear_hash(data)[at - 1], text)]
     at = np.union1d(at, starts[full])
     return at, words, np.searchsorted(starts[full], at, side="right") - 1
 

@@ -219,6 +219,20 @@ def test_repeated_passages(spark):
     assert chunk_dedup.repeated_passages(rows(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 8, 60])
+def test_periodic_passages(spark, period):
+    rng = np.random.default_rng(period)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9))))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for i in range(40):
+        line = fresh(period).split()
+        passage = " ".join((line * 60)[:60])
+        texts += [(2 * i + k, f"{fresh(int(rng.integers(10, 90)))} {passage} {fresh(30)}") for k in (0, 1)]
+    got = chunk_dedup.repeated_passages(rows(spark, texts)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in texts}
+
+
 def test_forward_sums_all_segmentations():
     known = language_id.pieces(vocabulary(PIECES))
     rng = np.random.default_rng(2)
