@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python, so that very long texts cannot fill a worker.
 BATCH_ROWS = 2000
 BATCH_BYTES = 32 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="sinoflow-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -39,10 +43,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage durably."""
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage durably.
+
+    Shuffle files of the write go as soon as it ends: nothing reads them again.
+    """
     spark = session_of(df)
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +73,31 @@ def discard(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> N
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as byte planes, as many as the largest number needs, under zstandard."""
+    import zstandard
+
+    widths = [(int(c.max()).bit_length() + 7) // 8 if len(c) else 0 for c in columns]
+    planes = [np.ascontiguousarray(c, np.uint64).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(columns, widths, strict=True)]
+    head = np.array([len(columns), *(x for c, w in zip(columns, widths, strict=True) for x in (len(c), w))], np.uint64)
+    return zstandard.compress(head.tobytes() + b"".join(planes), 1)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The columns that ``pack`` was given, as unsigned 64-bit integers."""
+    import zstandard
+
+    raw = zstandard.decompress(data)
+    head = np.frombuffer(raw, np.uint64, 1 + 2 * int(np.frombuffer(raw, np.uint64, 1)[0]))
+    at, out = 8 * len(head), []
+    for n, w in head[1:].reshape(-1, 2).tolist():
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :w] = np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T
+        out.append(wide.view(np.uint64).ravel())
+        at += n * w
+    return out
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: long documents, not row counts, decide a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
