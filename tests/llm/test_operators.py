@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sinoflow.llm import bpe, chunk_dedup, decontaminate, exact_dedup, jaccard_join, language_id, pii, quality, token_planes, url_filter
+from sinoflow.llm import bpe, chunk_dedup, common, decontaminate, exact_dedup, jaccard_join, language_id, pii, quality, token_planes, url_filter
 from sinoflow.llm.queries import PIECES, WORD_BPE, vocabulary
 
 PATH = vocabulary(WORD_BPE)
@@ -274,7 +274,7 @@ def test_quality(spark, odd):
     clean, bad = [r.doc_id for r in marks if r.quality == 1 and r.toxic == 0], [r.doc_id for r in marks if r.quality == 0]
     assert np.mean([got[i].kept for i in clean]) >= 0.97 and np.mean([got[i].kept for i in bad]) <= 0.3
     none = {r.doc_id: r.kept for r in quality.quality_table(rows(spark, odd), labels.limit(0)).collect()}
-    assert none[1] is False and none[3] is False and none[6] is True and none[10] is True
+    assert none[1] is False and none[3] is False and none[6] is True and none[10] is True and len(none) == len({i for i, _ in odd})
     assert quality.quality_table(rows(spark, []), labels).count() == 0
 
 
@@ -291,13 +291,84 @@ def test_quality_knows_words(spark):
     assert all(got[i].perplexity < 1000 for i in range(600)) and len(got) == len(texts)
 
 
-def test_kneser_ney_sums_to_one(spark):
+def brute_perplexities(texts, good):
+    """Interpolated modified Kneser-Ney over pairs, in plain Python; half of a document as Spark's hash gives it."""
+    docs = {i: (t or "").split() for i, (t, _) in texts.items()}
+    df = {}
+    for i in good:
+        for w in set(docs[i]):
+            df[w] = df.get(w, 0) + 1
+    least = max(quality.RARE, int(np.ceil(np.sqrt(len(good)) / quality.SPARSE)))
+    known = {w for w, n in df.items() if n >= least}
+    spelled = {}
+    for w in set(df) - known:
+        spelled[quality.word_class(w)] = spelled.get(quality.word_class(w), 1) + 1
+    code = lambda w: w if w in known else quality.word_class(w)
+    codes = quality.CLASSES + len(known)
+
+    def cut(counts):
+        d = quality.discounts(*(sum(n == k for n in counts.values()) for k in (1, 2, 3, 4)))
+        return {g: min(n, d[min(n, 3) - 1]) for g, n in counts.items()}
+
+    def model(half):
+        two, follow = {}, {}
+        for i in good:
+            if texts[i][1] == half:
+                c = [0, *map(code, docs[i])]
+                for g in zip(c, c[1:], strict=False):
+                    two[g] = two.get(g, 0) + 1
+        for _, w in two:
+            follow[w] = follow.get(w, 0) + 1
+        off2, off1 = cut(two), cut(follow)
+        total, off = {}, {}
+        for (v, w), n in two.items():
+            total[v] = total.get(v, 0) + n
+            off[v] = off.get(v, 0) + off2[v, w]
+        whole = sum(follow.values())
+
+        def p(v, w):
+            one = (follow.get(w, 0) - off1.get(w, 0)) / whole + sum(off1.values()) / whole / codes
+            return one if v not in total else (two.get((v, w), 0) - off2.get((v, w), 0)) / total[v] + off[v] / total[v] * one
+
+        return p
+
+    models, out = [model(0), model(1)], {}
+    for v in ([0, *sorted(known)[:3]]):
+        assert sum(models[0](v, w) for w in [*range(1, quality.CLASSES + 1), *known]) == pytest.approx(1.0)
+    for i, words in docs.items():
+        c = [0, *map(code, words)]
+        cost = [-np.log(models[1 - texts[i][1]](v, w) / spelled.get(w, 1)) for v, w in zip(c, c[1:], strict=False)]
+        out[i] = float(np.exp(np.mean(cost))) if cost else None
+    return out
+
+
+def test_perplexities_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    c = rng.integers(0, 9, 3000)
-    g, n = np.unique((c[:-2] * quality.V + c[1:-1]) * quality.V + c[2:], return_counts=True)
-    seen, pairs = quality.kneser_ney(spark.createDataFrame([(int(a), int(b)) for a, b in zip(g, n, strict=True)], "g long, n long"))
-    p = {r.g: r.p for r in seen.collect()}
-    after = {r.pair: (r.back, r.low) for r in pairs.collect()}
-    for u, v in ((1, 2), (5, 0), (200, 3)):
-        total = sum(p.get((u * quality.V + v) * quality.V + w, 0.0) + after[u * quality.V + v][0] * after[v * quality.V + w][1] for w in range(quality.V))
-        assert total == pytest.approx(1.0)
+    odds = 1 / np.arange(1, 121)
+    text = lambda k: " ".join(rng.choice([f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)], k, p=odds / odds.sum()))
+    texts = [(i, text(int(rng.integers(1, 60))) + f" Once{i}x $$ 12{i}.") for i in range(120)] + [(200, None), (201, "\u3000\x1c"), (202, ""), (203, "never seen words"), (204, text(3000))]
+    docs = rows(spark, [*texts, texts[123], texts[123]])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    half = {r.doc_id: r.half for r in quality._rows(docs).collect()}
+    want = brute_perplexities({i: (t, half[i]) for i, t in texts}, range(80))
+    for most in (quality.BROADCAST_WORDS, 0):  # packed and sharded; plain joins
+        monkeypatch.setattr(quality, "BROADCAST_WORDS", most)
+        got, judge = quality.perplexities(docs, quality.trusted_documents(docs, quality.trusted_ids(labels)))
+        got = got.collect()
+        assert judge and len(got) == len(texts) + 2 and sum(r.doc_id == 203 for r in got) == 3
+        for r in got:
+            assert (r.perplexity is None) == (want[r.doc_id] is None) and (r.perplexity is None or r.perplexity == pytest.approx(want[r.doc_id], rel=1e-5)), r
+            assert r.n_words == len((dict(texts)[r.doc_id] or "").split())
+    monkeypatch.setattr(quality, "SHARD_WORDS", 100)
+    monkeypatch.setattr(quality, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(quality, "PIECE", 50)
+    monkeypatch.setattr(quality, "BROADCAST_WORDS", 10_000)
+    for r in quality.perplexities(docs, quality.trusted_documents(docs, quality.trusted_ids(labels)))[0].collect():
+        assert r.perplexity is None or r.perplexity == pytest.approx(want[r.doc_id], rel=1e-5)
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(1)
+    columns = [np.sort(rng.integers(0, 1 << 62, 1000)).astype(np.uint64), np.zeros(5, np.uint64), np.zeros(0, np.uint64), np.array([255, 256, (1 << 64) - 1], np.uint64)]
+    for a, b in zip(common.unpack(common.pack(*columns)), columns, strict=True):
+        assert (a == b).all() and len(a) == len(b)
