@@ -98,6 +98,14 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers that ``repartition(n, key)`` deals out to n different partitions, so that none gets two."""
+    part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = spark.range(0, 20 * n + 200, numPartitions=1).groupBy(part.alias("part")).agg(F.min("id").alias("id")).collect()
+    of = {r.part: r.id for r in found}
+    return [of.get(k, -k - 1) for k in range(n)]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: long documents, not row counts, decide a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
