@@ -5,10 +5,14 @@
    n - ceil(0.8 n) + 1 shingles; only those are posted, and postings that no other class has are dropped.
 3. Neighbours in size within two postings of each class are compared first. That joins most near copies, and pairs
    inside a component need no further look, so a group of copies does not cost its square.
-4. In every posting with more than one component, dealt out in tiles, members sorted by size are compared over the band
-   of sizes that can be similar: parity bitmaps bound the overlap from above by their differing bits. Pairs that survive are
-   verified by intersecting the sorted hash arrays. Early rounds take of each tile only a spanning forest of such pairs, at
-   most one a member; their links contract what is still apart, and a last round takes all pairs between what is left.
+4. Postings are cut into tiles by size band: bands grow by the ratio of sizes that similar sets can have, so a set meets
+   those of its own band and of the next. Only tiles with two components go on; a tile with too many members is cut further.
+   Members sorted by size are compared: parity bitmaps bound the overlap from above by their differing bits. Pairs that
+   survive are verified by intersecting the sorted hash arrays. Early rounds take of each tile only a spanning forest of
+   such pairs, at most one a member; their links contract what is still apart, and a last round takes all pairs between
+   what is left.
+
+Postings are sorted and dealt out by range, so that one with very many members is spread over partitions.
 
 Step 2's order puts shingles that a bounded sample shows to be frequent last. Any order is right; this one keeps
 shared passages out of the postings.
@@ -18,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinoflow.llm import common
@@ -31,7 +35,7 @@ PART, WHOLE = 4, 5
 LEAST = -(-PART // (WHOLE - PART))
 #: The planning sample of step 2 (documents; least share of them that makes a shingle frequent; most such shingles).
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 0.0015, 20_000
-#: Members of a posting compared in one piece; larger postings are dealt out as pairs of such tiles.
+#: Members of a size band of a posting compared in one piece; larger bands are dealt out as pairs of such tiles.
 TILE_MEMBERS = 2048
 #: Rounds of spanning forests (each rereads the texts of its pairs) before all remaining pairs are taken.
 FOREST_ROUNDS = 1
@@ -131,6 +135,11 @@ def least_overlap(n):
     return -(-PART * n // WHOLE)
 
 
+def size_band(n: str) -> Column:
+    """Sets whose sizes allow similarity are in one band or in two that follow each other; no power of the ratio is whole."""
+    return F.floor(F.log(n) / F.log(F.lit(WHOLE / PART))).cast("int")
+
+
 def set_key(hashes: np.ndarray) -> int:
     import xxhash
 
@@ -226,8 +235,8 @@ def set_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared_postings(classes: DataFrame) -> DataFrame:
-    """h, key, n of postings that at least two classes have."""
-    posted = classes.select(F.explode("prefix").alias("h"), "key", "n").repartition("h").sortWithinPartitions("h")
+    """h, key, n of postings that at least two classes have, and some at the ends of partitions that one has."""
+    posted = classes.select(F.explode("prefix").alias("h"), "key", "n").repartitionByRange("h", "key").sortWithinPartitions("h")
 
     def run(batches):
         held, last = None, None  # the last row, and whether its run has been given out so far
@@ -239,7 +248,9 @@ def _shared_postings(classes: DataFrame) -> DataFrame:
             equal = h[1:] == h[:-1]
             same[1:] |= equal
             same[:-1] |= equal
-            if held is not None and h[0] == last[0]:
+            if held is None:
+                same[0] = True  # its run may have begun in the partition before
+            elif h[0] == last[0]:
                 same[0] = True
                 if not last[1]:
                     yield held
@@ -247,6 +258,8 @@ def _shared_postings(classes: DataFrame) -> DataFrame:
             held, last = batch.slice(len(h) - 1, 1), (h[-1], bool(same[-1]))
             if keep.num_rows:
                 yield keep
+        if held is not None and not last[1]:
+            yield held  # its run may go on in the next partition
 
     return common.materialize(posted.mapInArrow(run, "h long, key long, n int"), "jaccard-postings")
 
@@ -327,11 +340,24 @@ def _first_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of neighbours in size, at distances 1, 2 and 4, within the two first postings of each class, that pass the bitmap bound."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("h"))
     near = postings.withColumn("rank", rank).filter("rank <= 2").drop("rank")
-    by = Window.partitionBy("h").orderBy("n", "key")
-    ahead = [F.struct(F.lead("key", d).over(by).alias("b"), F.lead("n", d).over(by).alias("m")) for d in (1, 2, 4)]
-    pairs = near.select("key", "n", F.array(*ahead).alias("next")).select(F.col("key").alias("a"), "n", F.explode("next").alias("x"))
-    pairs = pairs.select("a", "n", "x.b", "x.m").filter(f"b is not null and a <> b and {WHOLE} * n >= {PART} * m")
-    pairs = pairs.select("a", "b").distinct()
+    near = near.select("h", "key", "n").repartitionByRange("h", "n", "key").sortWithinPartitions("h", "n", "key")
+
+    def neighbours(batches):
+        tail = None
+        for batch in batches:
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1, 2)])
+            whole = new if tail is None else np.concatenate([tail, new], axis=1)
+            old, (h, key, n) = whole.shape[1] - new.shape[1], whole
+            found = []
+            for d in (1, 2, 4):
+                i = np.arange(max(0, old - d), max(0, len(h) - d))
+                i = i[(h[i] == h[i + d]) & (key[i] != key[i + d]) & (WHOLE * n[i] >= PART * n[i + d])]
+                found.append(np.stack([key[i], key[i + d]], axis=1))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            tail = whole[:, -4:]
+
+    pairs = near.mapInArrow(neighbours, "a long, b long").distinct()
     side = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"{s}_n"), F.col("bitmap").alias(f"{s}_map"))
 
     def run(batches):
@@ -385,21 +411,27 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, for
     pairs, each round at another, lest the same dissimilar pairs stand in the way again.
     """
     known = postings.join(labels.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("label", "key").alias("label"))
-    mixed = known.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2")
-    tiles = F.ceil(F.col("members") / TILE_MEMBERS).cast("int")
-    known = known.join(mixed.select("h", tiles.alias("tiles")), "h")
+    known = known.withColumn("own", size_band("n"))
+    per = known.groupBy("h", "own").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+    # a band holds its members and, as guests, those of the band below
+    per = per.select(F.explode(F.array(*(F.struct((F.col("own") + g).alias("band"), F.lit(g).alias("guest")) for g in (0, 1)))).alias("x"), "h", "members", "l1", "l2")
+    bands = per.groupBy("h", "x.band").agg(F.sum("members").alias("members"), F.min("l1").alias("l1"), F.max("l2").alias("l2"), F.min("x.guest").alias("guests"))
+    mixed = bands.filter("l1 <> l2 and guests = 0").select("h", "band", F.ceil(F.col("members") / TILE_MEMBERS).cast("int").alias("tiles"))
+    as_guest = F.explode(F.array(F.lit(0), F.lit(1))).alias("guest")
+    known = known.select("h", "key", "n", "label", "own", as_guest).withColumn("band", F.col("own") + F.col("guest")).join(mixed, ["h", "band"])
     part = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    # a posting of many members is dealt out as pairs of tiles
-    dealt = known.withColumn("part", part).select("h", "key", "n", "label", "part", other.alias("with"))
-    dealt = dealt.select("h", F.least("part", "with").alias("t"), F.greatest("part", "with").alias("u"), "key", "n", "label", "part")
-    dealt = dealt.join(classes.select("key", "bitmap"), "key").repartition("h", "t", "u").sortWithinPartitions("h", "t", "u", "n", "key")
+    # a band of many members is dealt out as pairs of tiles
+    dealt = known.withColumn("part", part).select("h", "band", "key", "n", "label", "guest", "part", other.alias("with"))
+    dealt = dealt.select("h", "band", F.least("part", "with").alias("t"), F.greatest("part", "with").alias("u"), "key", "n", "label", "part", "guest")
+    tile = ["h", "band", "t", "u"]
+    dealt = dealt.join(classes.select("key", "bitmap"), "key").repartition(*tile).sortWithinPartitions(*tile, "n", "key")
 
-    columns = ["h", "t", "u", "key", "n", "label", "part", "bitmap"]
+    columns = [*tile, "key", "n", "label", "part", "guest", "bitmap"]
 
     def compare(batch: pa.RecordBatch, run: np.ndarray):
         """Members of a run stand in order of size; those d places apart are compared for d = 1, 2, ..."""
-        key, n, label, part, t, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label", "part", "t", "u"))
+        key, n, label, part, guest, t, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label", "part", "guest", "t", "u"))
         n, maps, found = n.astype(np.int64), Bitmaps(batch.column("bitmap")), []
         forest = None if forest_round is None else Forest(run, label)
         i = np.arange(len(n))
@@ -410,7 +442,7 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, for
             if not len(i):
                 break
             j = i + d
-            some = (label[i] != label[j]) & ((t[i] == u[i]) | (part[i] != part[j]))
+            some = (label[i] != label[j]) & ((t[i] == u[i]) | (part[i] != part[j])) & ((guest[i] == 0) | (guest[j] == 0))
             if forest is not None:
                 some &= forest.apart(i, j)
                 if forest_round:
@@ -435,7 +467,7 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, for
 
         def runs(batch):
             new = np.zeros(batch.num_rows, bool)
-            for c in ("h", "t", "u"):
+            for c in tile:
                 v = batch.column(c).to_numpy(zero_copy_only=False)
                 new[1:] |= v[1:] != v[:-1]
             return np.cumsum(new)
