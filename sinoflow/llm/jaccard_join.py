@@ -41,7 +41,7 @@ TILE_MEMBERS = 2048
 FOREST_ROUNDS = 1
 BROADCAST_IDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Fewest and most bits of a parity bitmap (a power of two that grows with the set), and bytes of text hashed at once.
+#: Fewest and most bits of a parity bitmap (a power of two, at least the set), and bytes of text hashed at once.
 BITS, MOST_BITS, SLICE_BYTES = 1024, 1 << 15, 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -404,25 +404,69 @@ class Forest:
         return taken
 
 
+def _size_tiles(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """h, band, guest, key, n, label of the members of postings that have a member of another label and a size that can be similar; written.
+
+    A member stands in its own band if that partner is there or below, and as a guest in the next band if it is there.
+    Where a run of h may go on in the next partition, members that could have a partner there are kept.
+    """
+    known = postings.join(labels.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("label", "key").alias("label"), size_band("n").alias("band"))
+    known = known.repartitionByRange("h", "n", "key").sortWithinPartitions("h", "n", "key")
+
+    def of_runs(whole: np.ndarray, opens: bool, ends: bool) -> pa.RecordBatch | None:
+        h, key, n, label, band = whole
+        run = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) << 40
+        at, change = np.arange(len(h)), np.cumsum(np.concatenate([[0], label[1:] != label[:-1]]))
+        low, high = np.searchsorted(run + n, run + -(-PART * n // WHOLE)), np.searchsorted(run + n, run + WHOLE * n // PART, "right")
+        border = np.searchsorted(run + band, run + band, "right")
+        home = change[np.minimum(high, border) - 1] != change[low]
+        next_at = np.minimum(border, len(h) - 1)
+        guest = (high > border) & ((change[high - 1] != change[next_at]) | (label[next_at] != label))
+        if opens:
+            home |= low == 0
+        if ends:
+            reach = high == len(h)
+            home, guest = home | reach, guest | reach
+        rows = np.concatenate([at[home], at[guest]])
+        if not len(rows):
+            return None
+        is_guest = np.repeat([0, 1], [home.sum(), guest.sum()])
+        columns = (h[rows], (band[rows] + is_guest).astype(np.int32), is_guest.astype(np.int32), key[rows], n[rows].astype(np.int32), label[rows])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "band", "guest", "key", "n", "label"])
+
+    def run(batches):
+        waiting, opens = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)])
+            whole = new if waiting is None else np.concatenate([waiting, new], axis=1)
+            last = int(np.searchsorted(whole[0], whole[0, -1]))  # the last run may go on in the next batch
+            if last:
+                if (out := of_runs(whole[:, :last], opens, False)) is not None:
+                    yield out
+                opens = False
+            waiting = whole[:, last:]
+        if waiting is not None and (out := of_runs(waiting, opens, True)) is not None:
+            yield out
+
+    return common.materialize(known.mapInArrow(run, "h long, band int, guest int, key long, n int, label long"), "jaccard-tiles")
+
+
 def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, forest_round: int | None = None) -> DataFrame:
     """All pairs of classes in different components that share a posting and pass the bitmap bound.
 
     With ``forest_round``, only pairs that join trees within their tile; rounds after the first look at half of all
     pairs, each round at another, lest the same dissimilar pairs stand in the way again.
     """
-    known = postings.join(labels.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("label", "key").alias("label"))
-    known = known.withColumn("own", size_band("n"))
-    per = known.groupBy("h", "own").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-    # a band holds its members and, as guests, those of the band below
-    per = per.select(F.explode(F.array(*(F.struct((F.col("own") + g).alias("band"), F.lit(g).alias("guest")) for g in (0, 1)))).alias("x"), "h", "members", "l1", "l2")
-    bands = per.groupBy("h", "x.band").agg(F.sum("members").alias("members"), F.min("l1").alias("l1"), F.max("l2").alias("l2"), F.min("x.guest").alias("guests"))
-    mixed = bands.filter("l1 <> l2 and guests = 0").select("h", "band", F.ceil(F.col("members") / TILE_MEMBERS).cast("int").alias("tiles"))
-    as_guest = F.explode(F.array(F.lit(0), F.lit(1))).alias("guest")
-    known = known.select("h", "key", "n", "label", "own", as_guest).withColumn("band", F.col("own") + F.col("guest")).join(mixed, ["h", "band"])
+    known = _size_tiles(postings, labels)
+    large = known.groupBy("h", "band").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > TILE_MEMBERS)
+    large = large.select("h", "band", F.ceil(F.col("members") / TILE_MEMBERS).cast("int").alias("tiles"))
+    known_tiles = known.join(large, ["h", "band"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     part = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     # a band of many members is dealt out as pairs of tiles
-    dealt = known.withColumn("part", part).select("h", "band", "key", "n", "label", "guest", "part", other.alias("with"))
+    dealt = known_tiles.withColumn("part", part).select("h", "band", "key", "n", "label", "guest", "part", other.alias("with"))
     dealt = dealt.select("h", "band", F.least("part", "with").alias("t"), F.greatest("part", "with").alias("u"), "key", "n", "label", "part", "guest")
     tile = ["h", "band", "t", "u"]
     dealt = dealt.join(classes.select("key", "bitmap"), "key").repartition(*tile).sortWithinPartitions(*tile, "n", "key")
@@ -484,7 +528,9 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, for
         if waiting and (out := compare(waiting[0], runs(waiting[0]))) is not None:
             yield out
 
-    return common.materialize(dealt.select(*columns).mapInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
+    pairs = common.materialize(dealt.select(*columns).mapInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
+    common.discard(known)
+    return pairs
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -508,6 +554,8 @@ def component_table(docs: DataFrame) -> DataFrame:
     sets = keyed_sets(docs)
     classes = set_classes(docs, sets)
     postings = _shared_postings(classes)
+    whole, classes = classes, common.materialize(classes.drop("prefix"), "jaccard-bitmaps")
+    common.discard(whole)
     labels = components(_verified(docs, classes, _first_pairs(postings, classes)))
     for forest_round in (*range(FOREST_ROUNDS), None):
         pairs = _other_pairs(postings, labels, classes, forest_round)

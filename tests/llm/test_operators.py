@@ -170,6 +170,24 @@ def test_jaccard_components(spark, odd):
     assert got == brute_components(texts)
 
 
+def test_jaccard_over_many_partitions(spark, monkeypatch):
+    """Runs of one posting that go over borders of partitions, and bands cut into tiles."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(150):  # all share their first words; sizes differ; some are alike
+        words = [f"c{i}" for i in range(12)] + [f"g{k // 3}_{i}" for i in range(int(rng.integers(2, 30)))]
+        texts.append((k, " ".join(words)))
+    monkeypatch.setattr(jaccard_join, "TILE_MEMBERS", 5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = sorted(map(tuple, jaccard_join.component_table(rows(spark, texts)).collect()), key=str)
+            assert got == brute_components(texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_jaccard_of_four_shingles(spark):
     texts = [
         (1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "z a b c d e f g h"), (4, "a b c d e f g"), (5, "p q r s t u v"), (6, "p q r s t u v w"),
