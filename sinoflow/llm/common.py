@@ -119,8 +119,17 @@ def texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def prefix_sums(values: Column, block: int = 256) -> Column:
     """Inclusive running sums of an array column, folded in blocks so that the cost stays near linear."""
+    return bound(values, lambda v: _prefix_sums(v, block))
+
+
+def _prefix_sums(values: Column, block: int) -> Column:
 
     def fold(part: Column, start: Column) -> Column:
         empty = F.array().cast("array<long>")
@@ -138,5 +147,5 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
     part = lambda b: F.slice(values, b * block + 1, F.lit(block))
     totals = F.transform(firsts, lambda b: F.aggregate(part(b), zero, lambda a, x: a + x))
     before = F.concat(F.array(zero), fold(totals, zero))
-    many = F.flatten(F.transform(firsts, lambda b: fold(part(b), F.element_at(before, b + 1))))
+    many = bound(before, lambda known: F.flatten(F.transform(firsts, lambda b: fold(part(b), F.element_at(known, b + 1)))))
     return F.when(n <= 0, F.array().cast("array<long>")).when(n <= block, fold(values, zero)).otherwise(many)

@@ -18,16 +18,23 @@ from pyspark.sql import functions as F
 from sinoflow.llm import common
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Longest piece and word segment in letters (longer words are cut), and the probability of a letter without a piece.
-PIECE_CHARS, WORD_CHARS, UNKNOWN = 10, 24, 1e-7
-#: Labelled documents of a language (about so many) and characters of them in all that the fit uses, and its rounds.
-SAMPLE_DOCS, ROUNDS = 300, 2
+#: The probability of a letter without a piece.
+UNKNOWN = 1e-7
+#: Bounds of the fit: labelled documents of a language (about so many), different words of them, letters of a word; and its rounds.
+SAMPLE_DOCS, FIT_WORDS, FIT_CHARS, ROUNDS = 300, 500_000, 24, 2
+#: Positions of words whose pieces are held at once, and steps between rescalings of the recursion.
+WINDOW, RESCALE = 1 << 12, 16
 CACHE_WORDS = 400_000
 _BASE = np.uint64(0x100000001B3)
 
 
 def letters(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters (Unicode category L), in lower case."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # the pattern also takes signs like ² and ½ that are numbers, not letters
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 class Pieces:
@@ -38,7 +45,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-        self.names = sorted(p for p in names if p.replace("▁", "").isalpha() and "▁" not in p[1:] and len(p) <= PIECE_CHARS)
+        self.names = sorted(p for p in names if p.replace("▁", "").isalpha() and "▁" not in p[1:])
+        self.longest = max(map(len, self.names))
         hashes = np.array([self._hash(p) for p in self.names], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], (order + 1).astype(np.int32)  # id 0: no piece
@@ -52,39 +60,63 @@ class Pieces:
             h = (h * int(_BASE) + ord(c) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For words of at most WORD_CHARS: ids[word, start, length - 1] of the pieces, and the words' lengths, each with a mark in front."""
+    def lattice(self, words: list[str], first: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """ids[word, start - first, length - 1] of the pieces at the starts in [first, stop), and the words' lengths, each with a mark in front."""
         size = np.array([len(w) + 1 for w in words])
-        top = int(size.max())
-        codes = np.zeros((len(words), top + PIECE_CHARS), np.uint64)
-        flat = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes[:, :top][np.arange(top)[None, :] < size[:, None]] = flat
+        stop = int(size.max()) if stop is None else stop
+        wide, reach = stop - first, stop - first + self.longest
+        there = np.clip(size - first, 0, reach)
+        codes = np.zeros((len(words), reach), np.uint64)
+        flat = "".join(("▁" + w[: first + reach - 1] if first == 0 else w[first - 1 : first + reach - 1]) for w in words)
+        codes[np.arange(reach)[None, :] < there[:, None]] = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
         codes *= np.uint64(0x9E3779B97F4A7C15)
-        ids = np.zeros((len(words), top, PIECE_CHARS), np.int32)
-        h = np.zeros((len(words), top), np.uint64)
-        for length in range(1, PIECE_CHARS + 1):
-            h = h * _BASE + codes[:, length - 1 : length - 1 + top]
-            here = self.seen[h >> np.uint64(44)] & (np.arange(top)[None, :] + length <= size[:, None])
+        ids = np.zeros((len(words), wide, self.longest), np.int32)
+        h = np.zeros((len(words), wide), np.uint64)
+        for length in range(1, self.longest + 1):
+            h = h * _BASE + codes[:, length - 1 : length - 1 + wide]
+            here = self.seen[h >> np.uint64(44)] & (np.arange(wide)[None, :] + length <= there[:, None])
             w, s = np.nonzero(here)
             found = h[w, s]
             at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
             ids[w, s, length - 1] = np.where(self.hashes[at] == found, self.ids[at], 0)
         return ids, size
 
+    def _step(self, ids: np.ndarray, end: int, first: int, before: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
+        """alpha of the first ``end`` characters from ``before``, those of shorter ends, the last of them last."""
+        one = ids[:, end - 1 - first, 0]
+        total = before[-1] * np.where((one == 0)[:, None], UNKNOWN, prob[one])
+        for length in range(2, min(end, self.longest) + 1):
+            piece = ids[:, end - length - first, length - 1]
+            some = np.flatnonzero(piece)
+            if len(some):
+                total[some] += before[-length][some] * prob[piece[some]]
+        return total
+
     def forward(self, ids: np.ndarray, size: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """alpha[word, end, language]: the probability of all segmentations of the first ``end`` characters. prob[piece, language]; row 0 is 0."""
-        n, top = ids.shape[:2]
-        alpha = np.zeros((n, top + 1, prob.shape[1]))
-        alpha[:, 0] = 1.0
-        for end in range(1, top + 1):
-            total = alpha[:, end - 1] * np.where((ids[:, end - 1, 0] == 0)[:, None], UNKNOWN, prob[ids[:, end - 1, 0]])
-            for length in range(2, min(end, PIECE_CHARS) + 1):
-                piece = ids[:, end - length, length - 1]
-                some = np.flatnonzero(piece)
-                if len(some):
-                    total[some] += alpha[some, end - length] * prob[piece[some]]
-            alpha[:, end] = total
-        return alpha
+        ends = [np.ones((len(size), prob.shape[1]))]
+        for end in range(1, ids.shape[1] + 1):
+            ends.append(self._step(ids, end, 0, ends, prob))
+        return np.stack(ends, axis=1)
+
+    def log_probabilities(self, words: list[str], prob: np.ndarray) -> np.ndarray:
+        """Log of the probability of all segmentations of words of any length, by language; pieces are held a window of positions at a time."""
+        size = np.array([len(w) + 1 for w in words])
+        top, shape = int(size.max()), (len(words), prob.shape[1])
+        out, scale, before = np.zeros(shape), np.zeros(shape), [np.ones(shape)]
+        for low in range(0, top, WINDOW):
+            first, stop = max(0, low - self.longest + 1), min(top, low + WINDOW)
+            ids, _ = self.lattice(words, first, stop)
+            for end in range(low + 1, stop + 1):
+                before = [*before[1 - self.longest :], self._step(ids, end, first, before, prob)]
+                if end % RESCALE == 0:
+                    high = np.maximum(before[-1], 1e-300)
+                    scale += np.log(high)
+                    before = [x / high for x in before]
+                done = size == end
+                if done.any():
+                    out[done] = np.log(np.maximum(before[-1][done], 1e-300)) + scale[done]
+        return out
 
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece over all segmentations of the words, one language."""
@@ -93,11 +125,12 @@ class Pieces:
             ids, size = self.lattice(words[low : low + 20_000])
             n, top = ids.shape[:2]
             alpha = self.forward(ids, size, prob[:, None])[:, :, 0]
-            beta = np.zeros((n, top + 1 + PIECE_CHARS))
+            beta = np.zeros((n, top + 1 + self.longest))
             beta[np.arange(n), size] = 1.0
-            scale = counts[low : low + n] / alpha[np.arange(n), size]
+            whole = alpha[np.arange(n), size]
+            scale = np.where(whole > 0, counts[low : low + n] / np.maximum(whole, 1e-300), 0.0)
             for start in range(top - 1, -1, -1):
-                for length in range(1, PIECE_CHARS + 1):
+                for length in range(1, self.longest + 1):
                     piece = ids[:, start, length - 1]
                     p = prob[piece]
                     if length == 1:
@@ -114,22 +147,21 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def cut(word: str) -> list[str]:
-    return [word[i : i + WORD_CHARS] for i in range(0, len(word), WORD_CHARS)]
-
-
 def held_out(doc_id) -> F.Column:
     """Whether crc32 of the doc_id as text leaves 1 modulo 3; a null doc_id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and prob[piece, language], fitted on about ``sample_docs`` documents of each, chosen by a hash of doc_id."""
+    """Languages and prob[piece, language], fitted on about ``sample_docs`` documents of each, chosen by a hash of doc_id and text.
+
+    Of these the FIT_WORDS most frequent words of at most FIT_CHARS letters are used.
+    """
     common.bounded_batches(docs.sparkSession)
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     names = sorted(sizes)
-    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(1_000_000))
+    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(7)), F.lit(1_000_000))
     some = F.lit(False)
     for name in names:
         some = some | ((F.col("lang") == name) & (rank < int(1_000_000 * min(1.0, sample_docs / sizes[name])) + 1))
@@ -141,12 +173,12 @@ def train(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> tuple[l
         for batch in batches:
             counted: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counted.update((lang, part) for w in letters(text) for part in cut(w))
+                counted.update((lang, w) for w in letters(text) if len(w) <= FIT_CHARS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in counted]), pa.array([k[1] for k in counted]), pa.array(list(counted.values()), pa.int64())], names=["lang", "word", "n"]
             ) if counted else pa.RecordBatch.from_pylist([], schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
-    words = sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    words = sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(FIT_WORDS).toPandas()
     known = pieces(path)
     prob = np.zeros((len(known.names) + 1, max(1, len(names))))
     for k, name in enumerate(names):
@@ -166,7 +198,8 @@ def language_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -
     """Per row: doc_id, held_out, lang_pred, score (posterior of the predicted language under equal priors).
 
     ``und`` with score 0 for a null text, one without letters, or without any language to learn from. Ties go to the
-    language first in the alphabet. An empty table gives an empty table.
+    language first in the alphabet. Rows that share a doc_id are judged each by its text. Words of any length are summed
+    whole. An empty table gives an empty table.
     """
     names, prob = train(docs, path, sample_docs)
     shared = docs.sparkSession.sparkContext.broadcast(prob)  # vocabulary by languages
@@ -178,19 +211,21 @@ def language_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -
         at, table, known = state["at"], state["table"], pieces(path)
 
         def learn(words):
-            for low in range(0, len(words), 8192):
-                part = words[low : low + 8192]
-                ids, size = known.lattice(part)
-                alpha = known.forward(ids, size, shared.value)
-                logs = np.log(np.maximum(alpha[np.arange(len(part)), size], 1e-300))
-                table[len(at) : len(at) + len(part)] = logs
+            low = 0  # words come by length
+            while low < len(words):
+                high = low + 1
+                while high < len(words) and high - low < 8192 and (high - low) * min(WINDOW, len(words[high])) < 1 << 18:
+                    high += 1
+                part = words[low:high]
+                table[len(at) : len(at) + len(part)] = known.log_probabilities(part, shared.value)
                 for w in part:
                     at[w] = len(at)
+                low = high
 
         for batch in batches:
             out_lang, out_score = [], []
             for low in range(0, batch.num_rows, 200):
-                rows = [[p for w in letters(t) for p in (cut(w) if len(w) > WORD_CHARS else (w,))] for t in batch.column(2).slice(low, 200).to_pylist()]
+                rows = [letters(t) for t in batch.column(2).slice(low, 200).to_pylist()]
                 new = {w for row in rows for w in row if w not in at}
                 if len(at) + len(new) > CACHE_WORDS:
                     at.clear()

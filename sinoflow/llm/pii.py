@@ -102,7 +102,8 @@ def _spans(kind: str, text: Column) -> Column:
             ),
         )
 
-    placed = F.filter(place(found, between), lambda s: _confirmed(kind, s["m"]))
+    pieces = F.struct(found.alias("found"), between.alias("between"))
+    placed = F.filter(common.bound(pieces, lambda p: place(p["found"], p["between"])), lambda s: _confirmed(kind, s["m"]))
     if kind not in BASE:
         placed = F.filter(placed, lambda s: s["score"] >= MIN_SCORE)
     out = F.transform(placed, lambda s: F.struct(s["start"], s["kind_no"], s["kind"], s["end"], s["score"])).cast(_SPAN)
@@ -116,16 +117,18 @@ def find(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Repeated rows are searched like any other. Base kinds stay whatever their
     score; the kinds that the method adds need a score of at least MIN_SCORE.
     """
+    return _searched(docs).drop("text")
+
+
+def _searched(docs: DataFrame) -> DataFrame:
     rows = common.texts(docs)
     for kind in KINDS:
         rows = rows.withColumn(f"of_{kind}", _spans(kind, F.col("text")))
-    return rows.select("doc_id", F.array_sort(F.concat(*(F.col(f"of_{k}") for k in KINDS))).alias("spans"))
+    return rows.select("doc_id", "text", F.array_sort(F.concat(*(F.col(f"of_{k}") for k in KINDS))).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "█") -> DataFrame:
-    """``doc_id`` and the text with every character of a span masked."""
-    found = find(docs).withColumnRenamed("doc_id", "found_id")
-    numbered = common.texts(docs)
+    """``doc_id`` and the text with every character of a span masked; each row by its own spans, repeated doc_ids too."""
     cut = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
@@ -138,10 +141,8 @@ def redact(docs: DataFrame, mask: str = "█") -> DataFrame:
             ).alias("out"),
         ),
     )
-    joined = numbered.join(found.dropDuplicates(["found_id"]), F.col("doc_id").eqNullSafe(F.col("found_id")))
-    return joined.withColumn("cut", cut).select(
-        "doc_id", F.concat(F.col("cut.out"), F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.length("text"))).alias("text")
-    )
+    rest = lambda c: F.concat(c["out"], F.substring(F.col("text"), (c["at"] + 1).cast("int"), F.length("text")))
+    return _searched(docs).select("doc_id", common.bound(cut, rest).alias("text"))
 
 
 def pii_table(docs: DataFrame) -> DataFrame:

@@ -175,11 +175,10 @@ def write_planes(
     """Encode the documents, end each with ``end_id`` and write them to ``out`` in ascending doc_id order.
 
     Documents are dealt to shards by ranges of doc_id; a shard's number is its place in the order. Null and empty
-    texts hold the end id alone. Rows with equal doc_id follow one another in the order of their texts, null
-    doc_ids come first. An empty table writes files without chunks.
+    texts hold the end id alone. Rows with equal doc_id follow one another in the order of a hash of their texts, then
+    of the texts, whatever the number of shards; null doc_ids come first. An empty table writes files without chunks.
     """
     common.bounded_batches(docs.sparkSession)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
 
     def run(batches):
@@ -215,7 +214,7 @@ def write_planes(
         if names:
             yield flush()
 
-    rows = common.texts(docs).repartitionByRange(*by).sortWithinPartitions(*order)
+    rows = common.texts(docs).repartitionByRange(*by).sortWithinPartitions(*by, "text")
     rows.mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "none").parquet(out)
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sinoflow.llm import common
+
 #: verdict, host, path; fixed by the contract of the query.
 RULES = [
     ("allow", "org", "/"),
@@ -77,6 +79,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     hosts = outcomes.groupBy("host").agg(
         F.count(F.when(good, 1)).cast("double").alias("good"), F.count(F.when(~good, 1)).cast("double").alias("bad")
     )
+    hosts = common.materialize(hosts, "url-hosts")  # a row a host, which the levels above read again
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     total = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*total)

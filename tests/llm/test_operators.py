@@ -261,7 +261,7 @@ def test_forward_sums_all_segmentations():
         if not s:
             return 1.0
         total = 0.0
-        for n in range(1, min(len(s), language_id.PIECE_CHARS) + 1):
+        for n in range(1, min(len(s), known.longest) + 1):
             p = prob[at[s[:n]], 0] if s[:n] in at else language_id.UNKNOWN if n == 1 else 0.0
             total += p * brute(s[n:]) if p else 0.0
         return total
@@ -271,6 +271,65 @@ def test_forward_sums_all_segmentations():
     alpha = known.forward(ids, size, prob)
     for i, w in enumerate(words):
         assert alpha[i, size[i], 0] == pytest.approx(brute("▁" + w))
+        assert known.log_probabilities(words, prob)[i, 0] == pytest.approx(np.log(brute("▁" + w)))
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    known = language_id.pieces(vocabulary(PIECES))
+    prob = np.concatenate([np.zeros((1, 2)), np.random.default_rng(3).random((len(known.names), 2)) / 50])
+    words = ["unbelievable" * 5, "q" * 70, "straße" * 9, "a"]
+    whole = known.log_probabilities(words, prob)
+    for i, w in enumerate(words):  # one by one, without rescaling
+        ids, size = known.lattice([w])
+        assert whole[i] == pytest.approx(np.log(known.forward(ids, size, prob)[0, size[0]]))
+    monkeypatch.setattr(language_id, "WINDOW", 7)
+    assert known.log_probabilities(words, prob) == pytest.approx(whole)
+
+
+def test_letters():
+    assert language_id.letters("Ab²c ½ Ⅷ ① x1y_z ǅ") == ["ab", "c", "x", "y", "z", "ǆ"]
+
+
+def test_languages_by_brute_force(spark):
+    """The table against a plain posterior from the fitted pieces."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names, prob = language_id.train(docs, vocabulary(PIECES))
+    known = language_id.pieces(vocabulary(PIECES))
+    texts = docs.collect()
+    got = language_id.language_table(docs, vocabulary(PIECES)).collect()
+    assert len(got) == len(texts)
+    want = {}
+    for r in texts:
+        words = language_id.letters(r.text or "")
+        if not words:
+            want[r.doc_id] = ("und", 0.0)
+            continue
+        total = np.zeros(len(names))
+        for w in words:
+            ids, size = known.lattice([w])
+            total += np.log(known.forward(ids, size, prob)[0, size[0]])
+        want[r.doc_id] = (names[int(total.argmax())], float(1 / np.exp(total - total.max()).sum()))
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], rel=1e-6)
+
+
+def test_redaction_is_by_row(spark):
+    texts = [(1, "write to x@y.zz now"), (1, "nothing here at all to hide"), (2, None), (3, "a@b.cc" * 2), (4, "")]
+    got = sorted((r.doc_id, r.text) for r in pii.redact(rows(spark, texts)).collect())
+    assert got == sorted([(1, "write to ██████ now"), (1, "nothing here at all to hide"), (2, ""), (3, "█" * 7 + "@b.cc"), (4, "")])  # the leftmost match ends in the next address
+
+
+def test_token_order_is_fixed(spark, tmp_path):
+    """Equal doc_ids come in one order, however many files are written."""
+    texts = [(k // 6, f"text {k} " * (k % 7)) for k in range(60)]
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(map(tuple, token_planes.token_table(rows(spark, texts), PATH).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_languages(spark, odd):
