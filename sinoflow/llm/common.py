@@ -106,6 +106,27 @@ def spread_keys(spark: SparkSession, n: int) -> list[int]:
     return [of.get(k, -k - 1) for k in range(n)]
 
 
+def released(run):
+    """``run`` for mapInArrow; at its end the worker, which is kept for later tasks, gives unused memory back to the system."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: long documents, not row counts, decide a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -180,7 +180,7 @@ def _frequent_shingles(rows: DataFrame) -> np.ndarray:
             for hashes in shingle_hashes(_utf8(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64())], names=["h"])
 
-    counted = sample.mapInArrow(run, "h long").groupBy("h").count()
+    counted = sample.mapInArrow(common.released(run), "h long").groupBy("h").count()
     least = max(3, int(FREQUENT * min(total, SAMPLE_DOCS)))
     top = counted.filter(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").collect()
     return np.sort(np.array([r.h for r in top], np.int64))
@@ -197,7 +197,7 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_key(x) if len(x) else 0 for x in sets], pa.int64())], names=["doc_id", "n", "key"]
             )
 
-    return common.materialize(common.texts(docs).mapInArrow(run, "doc_id long, n int, key long"), "jaccard-sets")
+    return common.materialize(common.texts(docs).mapInArrow(common.released(run), "doc_id long, n int, key long"), "jaccard-sets")
 
 
 def _of_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def set_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
                 names=["key", "n", "doc_id", "bitmap", "prefix"],
             )
 
-    made = _of_documents(docs, least).mapInArrow(run, "key long, n int, doc_id long, bitmap binary, prefix array<long>")
+    made = _of_documents(docs, least).mapInArrow(common.released(run), "key long, n int, doc_id long, bitmap binary, prefix array<long>")
     made = common.materialize(made, "jaccard-classes")
     # rows that repeat a doc_id can bring a class twice
     return made if made.count() == least.count() else common.materialize(made.dropDuplicates(["key"]), "jaccard-classes")
@@ -261,7 +261,7 @@ def _shared_postings(classes: DataFrame) -> DataFrame:
         if held is not None and not last[1]:
             yield held  # its run may go on in the next partition
 
-    return common.materialize(posted.mapInArrow(run, "h long, key long, n int"), "jaccard-postings")
+    return common.materialize(posted.mapInArrow(common.released(run), "h long, key long, n int"), "jaccard-postings")
 
 
 def _similar_sizes(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray) -> np.ndarray:
@@ -303,7 +303,7 @@ def _arrays(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
                 [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"]
             )
 
-    made = common.materialize(rows.mapInArrow(run, "key long, hashes binary"), "jaccard-arrays")
+    made = common.materialize(rows.mapInArrow(common.released(run), "key long, hashes binary"), "jaccard-arrays")
     if made.count() == made.select("key").distinct().count():
         return made
     # rows that repeat a doc_id can bring a class twice
@@ -330,7 +330,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(a[links], pa.int64()), pa.array(b[links], pa.int64())], names=["a", "b"])
 
     common.bounded_batches(pairs.sparkSession)
-    checked = joined.select("a", "b", "a_hashes", "b_hashes").mapInArrow(run, "a long, b long")
+    checked = joined.select("a", "b", "a_hashes", "b_hashes").mapInArrow(common.released(run), "a long, b long")
     links = common.materialize(checked, "jaccard-links")
     common.discard(arrays)  # as long as the texts they come from, and of no use to later rounds
     return links
@@ -357,7 +357,7 @@ def _first_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
             tail = whole[:, -4:]
 
-    pairs = near.mapInArrow(neighbours, "a long, b long").distinct()
+    pairs = near.mapInArrow(common.released(neighbours), "a long, b long").distinct()
     side = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"{s}_n"), F.col("bitmap").alias(f"{s}_map"))
 
     def run(batches):
@@ -368,7 +368,7 @@ def _first_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_map", "b_map")
-    return common.materialize(known.mapInArrow(run, "a long, b long"), "jaccard-first")
+    return common.materialize(known.mapInArrow(common.released(run), "a long, b long"), "jaccard-first")
 
 
 class Forest:
@@ -450,7 +450,7 @@ def _size_tiles(postings: DataFrame, labels: DataFrame) -> DataFrame:
         if waiting is not None and (out := of_runs(waiting, opens, True)) is not None:
             yield out
 
-    return common.materialize(known.mapInArrow(run, "h long, band int, guest int, key long, n int, label long"), "jaccard-tiles")
+    return common.materialize(known.mapInArrow(common.released(run), "h long, band int, guest int, key long, n int, label long"), "jaccard-tiles")
 
 
 def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, forest_round: int | None = None) -> DataFrame:
@@ -528,7 +528,7 @@ def _other_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, for
         if waiting and (out := compare(waiting[0], runs(waiting[0]))) is not None:
             yield out
 
-    pairs = common.materialize(dealt.select(*columns).mapInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
+    pairs = common.materialize(dealt.select(*columns).mapInArrow(common.released(run), "a long, b long").distinct(), "jaccard-pairs")
     common.discard(known)
     return pairs
 
