@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python, so that very long texts cannot fill a worker.
 BATCH_ROWS = 2000
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
