@@ -95,13 +95,13 @@ def fan_sums(spark, sf_dir):
 
 @_query(
     f"""WITH {_REC}, s AS (SELECT ring AS unit, time_ms // 7200000 AS k, count(*) AS n FROM rec GROUP BY ALL), t AS (SELECT unit, k * 7200.0 AS a, (k + 1) * 7200.0 AS b, n FROM s),
-r AS (SELECT i * 10000.0 AS c, (i + 1) * 10000.0 AS d FROM range(30) q(i)) SELECT unit, c::DOUBLE AS slice_s, sum(n * greatest(0, least(b, d) - greatest(a, c)) / (b - a))::DOUBLE AS n FROM t, r GROUP BY 1, 2"""
+r AS (SELECT unit, a, b, n, unnest(range(floor(a / 10000)::BIGINT, ceil(b / 10000)::BIGINT)) * 10000.0 AS c FROM t) SELECT unit, c::DOUBLE AS slice_s, sum(n * (least(b, c + 10000) - greatest(a, c)) / (b - a))::DOUBLE AS n FROM r GROUP BY 1, 2"""
 )
 def singles_rebinned(spark, sf_dir):
     slot = F.floor(F.col("time_ms") / 7_200_000)
     slices = tables.records(spark, sf_dir).groupBy(F.col("ring").alias("unit"), slot.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     slices = slices.select("unit", (F.col("k") * 7200.0).alias("start_s"), ((F.col("k") + 1) * 7200.0).alias("end_s"), "n")
-    return listmode.singles_rebin(slices, [i * 10_000.0 for i in range(30)], 10_000.0)
+    return listmode.singles_rebin(slices, 10_000.0)
 
 
 @_query(f"WITH {_BINS} SELECT segment, view, axial, tang, 2 + 3 * greatest(10, least(1000, value)) ** 1.5 AS value FROM proj")
@@ -160,7 +160,7 @@ SELECT l_suppkey, sty/stt AS slope, (sy - sx*sty/stt)/s AS intercept, 1/stt AS v
 @_query(_LINE)
 def weighted_line_fit(spark, sf_dir):
     rows = tables.load(spark, sf_dir, "lineitem")
-    # chi square, a difference of large sums, is tested on small cases
+    # chi square, a difference of large sums, is tested on a small case
     return reduce.weighted_line(rows, ["l_suppkey"], F.col("l_quantity"), F.col("l_extendedprice"), 1 + F.col("l_tax")).drop("chi_square")
 
 
@@ -180,10 +180,12 @@ def compare_projdata(spark, sf_dir):
 
 
 @_query(
-    f"WITH {_BINS}, s AS (SELECT floor((segment + 1) / 3.0)::INT AS s, (view // 2)::INT AS v, axial, tang, value, segment * 100 + view AS sv FROM bins WHERE abs(tang) <= 6) SELECT s AS segment, v AS view, axial, tang, sum(value) / count(DISTINCT sv) AS value FROM s GROUP BY s, v, axial, tang"
+    f"""WITH {_BINS}, g AS (SELECT s AS segment, a AS axial, floor((s + 1) / 3.0)::INT AS o, 2 * a - (7 - abs(s)) AS m FROM range(-2, 3) x(s), range(8) y(a) WHERE a < 8 - abs(s)),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY o ORDER BY m) - 1 AS oa, count(*) OVER (PARTITION BY o, m) AS n FROM g)
+SELECT o::INT AS segment, (view // 2)::INT AS view, oa::INT AS axial, tang, sum(value) / any_value(n * 2) AS value FROM bins JOIN k USING (segment, axial) WHERE abs(tang) <= 6 GROUP BY o, view // 2, oa, tang"""
 )
 def ssrb(spark, sf_dir):
-    return rebin.ssrb(tables.bins(spark, sf_dir), 3, 2, 6)
+    return rebin.ssrb(tables.bins(spark, sf_dir), {s: 8 - abs(s) for s in range(-2, 3)}, 3, 2, 6)
 
 
 @_query(f"WITH {_BINS} SELECT axial, tang, sum(value) AS value FROM bins GROUP BY 1, 2")
@@ -244,12 +246,13 @@ def osem(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_IMG}, {_MATRIX}, p AS (SELECT image_id, view, t, sum(a * value) AS value FROM (SELECT * FROM img WHERE z = 0) JOIN m USING (y, x) GROUP BY ALL), o AS (SELECT view, t, sum(a) + 0.5 AS mean FROM m GROUP BY ALL),
-l AS (SELECT image_id, value AS q, greatest(mean, value / 10000) AS mean FROM p JOIN o USING (view, t)) SELECT image_id, sum(CASE WHEN q <= 1e-6 THEN -mean ELSE q * ln(mean) - mean END) AS log_likelihood FROM l GROUP BY 1"""
+    f"""WITH {_IMG}, {_MATRIX}, p AS (SELECT image_id, z, view, t, sum(a * value) AS value FROM img JOIN m USING (y, x) GROUP BY ALL), o AS (SELECT view, t, sum(a) + 0.5 AS mean FROM m GROUP BY ALL),
+l AS (SELECT image_id, value AS q, greatest(mean, value / 10000) AS mean, max(value) OVER (PARTITION BY image_id, z, view) * 1e-6 AS small FROM p JOIN o USING (view, t)) SELECT image_id, sum(CASE WHEN q <= small THEN -mean ELSE q * ln(mean) - mean END) AS log_likelihood FROM l GROUP BY 1"""
 )
 def poisson_log_likelihood(spark, sf_dir):
-    m, image = recon.parallel_matrix(spark, 8), tables.images(spark, sf_dir).filter("z = 0")
-    return recon.log_likelihood(m, recon.forward(m, image, ["image_id"]), image.withColumn("value", F.lit(1.0)), ["image_id"], 0.5)
+    m, image = recon.parallel_matrix(spark, 8), tables.images(spark, sf_dir)
+    planes = recon.log_likelihood(m, recon.forward(m, image, ["image_id", "z"]), image.withColumn("value", F.lit(1.0)), ["image_id", "z"], 0.5)
+    return planes.groupBy("image_id").agg(F.sum("log_likelihood").alias("log_likelihood"))
 
 
 _G = stencil.gaussian_kernel(1.5)
@@ -398,4 +401,4 @@ def oracle_sql() -> dict[str, str]:
     return _SQL
 
 
-from sinoflow import catalog_recon  # noqa: E402, F401  registers its queries
+from sinoflow import catalog_geometry, catalog_recon  # noqa: E402, F401  they register their queries

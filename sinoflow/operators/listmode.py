@@ -57,9 +57,26 @@ def fan_sums(events: DataFrame) -> DataFrame:
     return ends.groupBy("ring", "det").agg(F.count(F.lit(1)).alias("n"))
 
 
-def singles_rebin(slices: DataFrame, starts: list[float], step: float) -> DataFrame:
-    """Counts of time slices (unit, start_s, end_s, n) re-sliced in proportion to overlap; starts: of the new slices."""
-    new = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("a"), F.lit(float(s + step)).alias("b")) for s in starts)))
-    rows = slices.select("unit", "start_s", "end_s", "n", new.alias("s"))
-    part = F.greatest(F.lit(0.0), F.least("end_s", F.col("s.b")) - F.greatest("start_s", F.col("s.a"))) / (F.col("end_s") - F.col("start_s"))
-    return rows.groupBy("unit", F.col("s.a").alias("slice_s")).agg(F.sum(F.col("n") * part).alias("n"))
+def singles_rebin(slices: DataFrame, step: float) -> DataFrame:
+    """Counts of time slices (unit, start_s, end_s, n) re-sliced in steps from 0 in proportion to overlap, however long the scan."""
+    whole = F.sequence(F.floor(F.col("start_s") / step), F.ceil(F.col("end_s") / step) - 1)  # only slices that overlap
+    rows = slices.filter("end_s > start_s").select("unit", "start_s", "end_s", "n", F.explode(whole).alias("k")).withColumn("a", F.col("k") * float(step))
+    part = (F.least("end_s", F.col("a") + step) - F.greatest("start_s", "a")) / (F.col("end_s") - F.col("start_s"))
+    return rows.groupBy("unit", F.col("a").alias("slice_s")).agg(F.sum(F.col("n") * part).alias("n"))
+
+
+def rate_in(slices: DataFrame, start_s: float, end_s: float) -> DataFrame:
+    """Mean rate of each unit over [start_s, end_s]; a slice counts as far as it lies within."""
+    part = (F.least("end_s", F.lit(end_s)) - F.greatest("start_s", F.lit(start_s))) / (F.col("end_s") - F.col("start_s"))
+    rows = slices.filter((F.col("end_s") > start_s) & (F.col("start_s") < end_s))
+    return rows.groupBy("unit").agg((F.sum(F.col("n") * part) / (end_s - start_s)).alias("rate"))
+
+
+def keep_at_random(events: DataFrame, share: float, key: str = "rec_no", seed: int = 42) -> DataFrame:
+    """Each event stays with probability ``share``. Its key decides, so that a task that runs again keeps the same."""
+    return events.filter(uniform([key], seed) < share)
+
+
+def uniform(keys: list[str], seed: int) -> Column:
+    """A number in [0, 1) that a row's keys fix."""
+    return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / float(1 << 53)

@@ -6,17 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ssrb(bins: DataFrame, segments: int, mash_views: int = 1, max_tang: int | None = None, normalise: bool = True) -> DataFrame:
+def axial_map(axial_sizes: dict[int, int], segments: int) -> list[tuple[int, int, int, int, int]]:
+    """(segment, axial, new segment, new axial, slices that share it) for every slice of a scanner.
+
+    Slices of a segment lie a sampling apart about the scanner's middle; those of equal coordinate meet.
+    """
+    place = {(s, a): ((s + segments // 2) // segments, 2 * a - (n - 1)) for s, n in axial_sizes.items() for a in range(n)}
+    slices = sorted(set(place.values()))
+    first = {}
+    for i, (s, _) in enumerate(slices):
+        first.setdefault(s, i)
+    share = {k: sum(v == k for v in place.values()) for k in slices}
+    return [(s, a, k[0], slices.index(k) - first[k[0]], share[k]) for (s, a), k in sorted(place.items())]
+
+
+def ssrb(bins: DataFrame, axial_sizes: dict[int, int], segments: int, mash_views: int = 1, max_tang: int | None = None, normalise: bool = True) -> DataFrame:
     """Single-slice rebinning: ``segments`` neighbouring segments and ``mash_views`` views are added.
 
-    Slices meet at the same axial coordinate; with ``normalise`` a sum is divided by the number of
-    (segment, axial, view) that went into it.
+    Slices meet at the same axial coordinate, by ``axial_sizes``, the axial positions of each segment; with
+    ``normalise`` a sum is divided by the slices times views that make up the new bin, with counts or not.
     """
     rows = bins if max_tang is None else bins.filter(F.abs("tang") <= max_tang)
-    half = segments // 2
-    key = [F.floor((F.col("segment") + half) / segments).cast("int").alias("segment"), F.floor(F.col("view") / mash_views).cast("int").alias("view"), "axial", "tang"]
-    summed = rows.groupBy(*key).agg(F.sum("value").alias("total"), F.count_distinct("segment", "view").alias("n"))
-    return summed.select("segment", "view", "axial", "tang", (F.col("total") / F.col("n") if normalise else F.col("total")).alias("value"))
+    spark = bins.sparkSession
+    made = spark.createDataFrame(axial_map(axial_sizes, segments), "segment int, axial int, new_segment int, new_axial int, share int")
+    rows = rows.join(F.broadcast(made), ["segment", "axial"])  # a row a slice of the scanner
+    view = F.floor(F.col("view") / mash_views).cast("int")
+    key = [F.col("new_segment").alias("segment"), view.alias("view"), F.col("new_axial").alias("axial"), "tang"]
+    summed = rows.groupBy(*key).agg(F.sum("value").alias("total"), F.max("share").alias("share"))
+    total = F.col("total") / (F.col("share") * mash_views) if normalise else F.col("total")
+    return summed.select("segment", "view", "axial", "tang", total.alias("value"))
+
+
+def inverse_ssrb(direct: DataFrame, direct_size: int, axial_sizes: dict[int, int]) -> DataFrame:
+    """Bins of all segments from direct slices (view, axial, tang, value), linear between the two nearest axial coordinates; none beyond the ends."""
+    parts = []
+    for s, n in axial_sizes.items():
+        for a in range(n):
+            at = a - (n - 1) / 2 + (direct_size - 1) / 2
+            low = int(at // 1)
+            parts += [(s, a, low + k, w) for k, w in ((0, 1 - (at - low)), (1, at - low)) if w > 0 and 0 <= low + k < direct_size]
+    made = direct.sparkSession.createDataFrame(parts, "segment int, new_axial int, axial int, w double")
+    rows = direct.join(F.broadcast(made), "axial")  # two rows a slice of the scanner
+    return rows.groupBy("segment", "view", F.col("new_axial").alias("axial"), "tang").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def zero_end_planes(bins: DataFrame, axial_sizes: dict[int, int], segment: int = 0) -> DataFrame:
+    """The first and the last slice of a segment set to 0."""
+    ends = (F.col("segment") == segment) & F.col("axial").isin(0, axial_sizes[segment] - 1)
+    return bins.withColumn("value", F.when(ends, F.lit(0).cast("double")).otherwise(F.col("value")))
 
 
 def project_axis(bins: DataFrame, keep: list[str]) -> DataFrame:

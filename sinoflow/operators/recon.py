@@ -49,12 +49,29 @@ def osem(matrix: DataFrame, data: DataFrame, start: DataFrame, by: list[str], n_
     return image
 
 
-def log_likelihood(matrix: DataFrame, data: DataFrame, image: DataFrame, by: list[str], background: float = 0.0) -> DataFrame:
+def _with_estimate(matrix: DataFrame, data: DataFrame, image: DataFrame, by: list[str], background: float) -> DataFrame:
+    """by, view, t, value, mean over bins that have counts or an estimate; what one side lacks is 0."""
     mean = forward(matrix, image, by).withColumnRenamed("value", "mean")
-    terms = data.join(mean, [*by, "view", "t"]).select(*by, log_likelihood_term(F.col("value"), F.col("mean") + background, 1e-6).alias("l"))
+    rows = data.join(mean, [*by, "view", "t"], "full")
+    return rows.select(*by, "view", "t", F.coalesce("value", F.lit(0.0)).alias("value"), (F.coalesce("mean", F.lit(0.0)) + background).alias("mean"))
+
+
+def log_likelihood(matrix: DataFrame, data: DataFrame, image: DataFrame, by: list[str], background: float = 0.0) -> DataFrame:
+    """Poisson log-likelihood; counts up to a millionth of the largest of their viewgram are taken for none."""
+    rows = _with_estimate(matrix, data, image, by, background)
+    small = rows.groupBy(*by, "view").agg((F.max("value") * 1e-6).alias("small"))
+    terms = rows.join(small, [*by, "view"]).select(*by, log_likelihood_term(F.col("value"), F.col("mean"), F.col("small")).alias("l"))
     return terms.groupBy(*by).agg(F.sum("l").alias("log_likelihood"))
 
 
+def hessian_row_sums(matrix: DataFrame, data: DataFrame, image: DataFrame, by: list[str], background: float = 0.0, small: float = 1e-10) -> DataFrame:
+    """Sums of the rows of minus the log-likelihood's Hessian: back projection of (projection of ones) * counts / mean squared."""
+    ones = matrix.groupBy("view", "t").agg(F.sum("a").alias("ones"))
+    rows = _with_estimate(matrix, data, image, by, background).join(ones, ["view", "t"])
+    curved = rows.select(*by, "view", "t", safe_divide(F.col("ones") * F.col("value"), F.col("mean") * F.col("mean"), small).alias("value"))
+    return backward(matrix, curved, by)
+
+
 def sensitivity(matrix: DataFrame, efficiencies: DataFrame | None = None, bins=("view", "t"), voxels=("y", "x")) -> DataFrame:
     """Back projection of ones, or of bin efficiencies (bins, eff): the columns ``voxels`` and ``sens``."""
     a = F.col("a") if efficiencies is None else F.col("a") * F.col("eff")
@@ -109,8 +126,8 @@ def ossps(matrix: DataFrame, data: DataFrame, start: DataFrame, by: list[str], n
     for update in range(n_updates):
         zeta = relaxation / (1 + gamma * (update // n_subsets))
         part = matrix.filter(F.pmod("view", F.lit(n_subsets)) == update % n_subsets)
-        mean = forward(part, image, by).withColumnRenamed("value", "mean")
-        rest = data.join(mean, [*by, "view", "t"]).select(*by, "view", "t", (safe_divide(F.col("value"), F.col("mean") + background, small) - 1).alias("value"))
+        own = data.filter(F.pmod("view", F.lit(n_subsets)) == update % n_subsets)
+        rest = _with_estimate(part, own, image, by, background).select(*by, "view", "t", (safe_divide(F.col("value"), F.col("mean"), small) - 1).alias("value"))
         step = backward(part, rest, by).withColumnRenamed("value", "step")
         rows = image.join(step, keys).join(bound, keys)
         moved = F.col("value") + zeta * n_subsets * safe_divide(F.col("step"), F.col("bound"), small)

@@ -78,6 +78,8 @@ def _osmaposl(matrix, data, start, image_key, p: dict) -> DataFrame:
 
 @register(_METHODS, "OSSPS")
 def _ossps(matrix, data, start, image_key, p: dict) -> DataFrame:
+    if str(find(p, "prior type", "none")).lower() not in ("none", "", "0"):
+        raise ValueError("OSSPS takes no prior")
     return recon.ossps(
         matrix, data, start, [image_key, "z"], int(find(p, "number of subsets", 1)), int(find(p, "number of subiterations", 1)),
         float(find(p, "relaxation parameter", 1)), float(find(p, "relaxation gamma", 0.1)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LINE = re.compile(r"^\s*([^;:=\[]+?)\s*(?:\[\s*(\d+)\s*\])?\s*:=\s*(.*?)\s*$")
 
@@ -69,3 +70,13 @@ def plasma_samples(spark: SparkSession, path: str) -> DataFrame:
     if lines and int(lines[0][0]) != len(rows):
         raise ValueError(f"{path}: {lines[0][0]} samples announced, {len(rows)} found")
     return spark.createDataFrame(rows, "t_s double, plasma double, blood double")
+
+
+def read_gates(spark: SparkSession, path: str) -> DataFrame:
+    """Gate definitions: rows ``gate duration`` with seq, their place in the file; gate 0 is a gap."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).withColumn("text", F.trim("text")).filter("text <> ''")
+    part = F.split("text", r"\s+")
+    rows = lines.select("line", part[0].cast("int").alias("gate"), part[1].cast("double").alias("duration_s"))
+    bad = (F.col("gate").isNull()) | F.col("duration_s").isNull() | (F.col("gate") < 0) | ((F.col("gate") > 0) & (F.col("duration_s") < 0))
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("not a gate and its duration in line "), F.col("line") + 1)).cast("int")).otherwise(F.col("gate"))
+    return rows.select(F.col("line").alias("seq"), checked.alias("gate"), "duration_s")

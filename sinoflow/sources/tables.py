@@ -18,7 +18,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share; a local one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = current.get() if current.isDefined() else None
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = folder or tempfile.gettempdir()
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
