@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,8 +26,8 @@ from sinoflow.llm import common
 
 #: Private-use code points mark the last symbol of a word in the automaton.
 _LAST = 0xE000
-#: Entries of a worker's caches before they start afresh, and the longest word that is kept.
-CACHE_WORDS = 600_000
+#: Entries of a worker's caches (of pieces, twice as many), and the longest word that is kept.
+CACHE_WORDS = 150_000
 CACHE_CHARS = 64
 #: Controls that Python's str.split takes for white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -51,6 +53,8 @@ class PrefixBPE:
             raise ValueError("added tokens must be plain strings")
         self._special_at = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
 
+        self._plain = self._letter_table()
+
         vocab: dict[str, int] = model["vocab"]
         self.token_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self._special.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -63,7 +67,7 @@ class PrefixBPE:
                 raise ValueError("a token is made by more than one merge")
             made[t], left[t], right[t] = rank, vocab[a], vocab[b]
         self._made, self._left, self._right = made, left, right
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
         whole: dict[int, bool] = {}
         self._ids: dict[str, int] = {}
@@ -80,6 +84,16 @@ class PrefixBPE:
         self._suffixes = automaton.iter
         self._words: dict[str, tuple[int, ...]] = {}
 
+    def _letter_table(self) -> dict[int, str] | None:
+        """What normalising makes of ASCII letters, if it takes them one by one and words of them, before a full stop or comma or not, stay whole."""
+        table = {ord(c): self._normalize(c) for c in string.ascii_letters}
+        cut = lambda text: [w for w, _ in self._pre_tokenize(text)]
+        for text in (string.ascii_letters, string.ascii_letters.swapcase()):
+            plain = text.translate(table)
+            if self._normalize(text) != plain or cut(plain) != [plain] or any(self._normalize(text + c) != plain + c or cut(plain + c) != [plain, c] for c in ".,"):
+                return None
+        return table
+
     def _symbols(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
             token = token[: -len(self.suffix)]
@@ -101,11 +115,11 @@ class PrefixBPE:
                 r, limit = self._left[r], made_r + 1
 
     def compatible(self, l: int, r: int) -> bool:
-        known = self._pairs.get((l, r))
+        known = self._pairs.get(l << 32 | r)
         if known is None:
             if len(self._pairs) >= 4 * CACHE_WORDS:
                 self._pairs.clear()
-            known = self._pairs[l, r] = self._compatible(l, r)
+            known = self._pairs[l << 32 | r] = self._compatible(l, r)
         return known
 
     def encode_word(self, word: str) -> tuple[int, ...]:
@@ -117,7 +131,7 @@ class PrefixBPE:
         only = self._ids.get(symbols)
         ids = (only,) if only is not None else self._prefixes(symbols)
         if len(word) <= CACHE_CHARS:
-            if len(self._words) >= CACHE_WORDS:
+            if len(self._words) >= CACHE_WORDS:  # most recurring words are kept as pieces already
                 self._words.clear()
             self._words[word] = ids
         return ids
@@ -138,8 +152,13 @@ class PrefixBPE:
             at -= size[at]
         return tuple(reversed(ids))
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def encode_piece(self, piece: str) -> Sequence[int]:
         """Ids of a text without white space, or of any text."""
+        if self._plain and piece.isascii():  # most pieces need no library
+            if piece.isalpha():
+                return self.encode_word(piece.translate(self._plain))
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                return self.encode_word(piece[:-1].translate(self._plain)) + self.encode_word(piece[-1])
         ids: list[int] = []
         for part in self._special_at.split(piece) if self._special_at and "<" in piece else (piece,):
             if part in self._special:
@@ -169,16 +188,19 @@ def encoder(path: str) -> PrefixBPE:
 
 
 class PieceCache(dict):
-    """Remembers what ``make`` returns for short pieces; starts afresh when full."""
+    """Remembers what ``make`` returns for short pieces in two generations: when the younger is full, the older goes."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, piece: str):
-        value = self.make(piece)
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[piece] = value
         return value
@@ -190,30 +212,12 @@ def _digest_cache(path: str) -> PieceCache:
 
     def make(piece: str) -> tuple[str, str, int]:
         ids = bpe.encode_piece(piece)
-        return " ".join(map(str, ids)), bpe.decode(ids), len(ids)
+        decoded = bpe.decode(ids)
+        return " ".join(map(str, ids)), piece if decoded == piece else decoded, len(ids)
 
     return PieceCache(make)
 
 
-def encode_table(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, ids array<int> and the text that decoding them gives.
-
-    A null or empty text has no ids and decodes to the empty text. Repeated rows are encoded like any other row.
-    """
-    common.bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        bpe = encoder(path)
-        for batch in batches:
-            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
-
-    return common.texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
-
-
 def digest_table(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, and SHA-256 of its decimal ids and of its decoded text.
 
@@ -238,4 +242,4 @@ def digest_table(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.texts(docs).mapInArrow(common.released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,6 +19,8 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 #: Number of state stores, and the rows that each is meant for. A store keeps a file of some MB however few its keys.
 _STORES = "spark.sql.streaming.internal.stateStore.partitions"
 LEAST_STORES, ROWS_PER_STORE = 12, 500_000
+#: All stores of an executor share this much memory; what is more lies on its disk.
+_SHARED = {"spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128"}
 #: Most repeated digests (about 60 bytes each) that are broadcast; beyond that they are joined by shuffle.
 BROADCAST_DIGESTS = 400_000
 
@@ -33,8 +35,9 @@ def stream_groups(spark: SparkSession, path: str, schema) -> DataFrame:
     The digests are read as a stream until none is left. Each micro-batch writes the keys that it touched under its
     own number, so a repeated batch overwrites itself; both values only grow, so the last state is their maximum.
     """
-    before = {k: spark.conf.get(k, None) for k in (_STATE, _STORES)}
-    spark.conf.set(_STATE, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in (_STATE, _STORES, *_SHARED)}
+    for k, v in ({_STATE: _ROCKSDB} | _SHARED).items():
+        spark.conf.set(k, v)
     spark.conf.set(_STORES, max(LEAST_STORES, spark.read.schema(schema).parquet(path).count() // ROWS_PER_STORE))
     out = common.fresh_path(spark, "dedup-groups")
     try:
