@@ -27,7 +27,7 @@ from sinoflow.llm import common
 #: Private-use code points mark the last symbol of a word in the automaton.
 _LAST = 0xE000
 #: Entries of a worker's caches (of pieces, twice as many), and the longest word that is kept.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 220_000
 CACHE_CHARS = 64
 #: Controls that Python's str.split takes for white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -139,13 +139,19 @@ class PrefixBPE:
     def _prefixes(self, symbols: str) -> tuple[int, ...]:
         last: list[int | None] = [None] * (len(symbols) + 1)
         size = [0] * (len(symbols) + 1)
-        compatible = self.compatible
+        compatible, known = self.compatible, self._pairs.get
         for end, (token, length) in self._suffixes(symbols):
             end += 1
             if last[end] is None:
                 start = end - length
-                if start == 0 or (last[start] is not None and compatible(last[start], token)):
-                    last[end], size[end] = token, length
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    fits = known(before << 32 | token)
+                    if not (compatible(before, token) if fits is None else fits):
+                        continue
+                last[end], size[end] = token, length
         ids, at = [], len(symbols)
         while at:
             ids.append(last[at])
@@ -209,11 +215,13 @@ class PieceCache(dict):
 @lru_cache(maxsize=4)
 def _digest_cache(path: str) -> PieceCache:
     bpe = encoder(path)
+    token_of, said = bpe.token_of, {i: str(i) for i in bpe.token_of}
 
     def make(piece: str) -> tuple[str, str, int]:
-        ids = bpe.encode_piece(piece)
-        decoded = bpe.decode(ids)
-        return " ".join(map(str, ids)), piece if decoded == piece else decoded, len(ids)
+        ids = bpe.encode_piece(piece)  # of the vocabulary, so each has a token
+        if len(ids) == 1:
+            return said[ids[0]], token_of[ids[0]], 1
+        return " ".join([said[i] for i in ids]), " ".join([token_of[i] for i in ids]), len(ids)
 
     return PieceCache(make)
 
