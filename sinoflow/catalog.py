@@ -401,4 +401,4 @@ def oracle_sql() -> dict[str, str]:
     return _SQL
 
 
-from sinoflow import catalog_geometry, catalog_recon  # noqa: E402, F401  they register their queries
+from sinoflow import catalog_geometry, catalog_penalised, catalog_recon  # noqa: E402, F401  they register their queries

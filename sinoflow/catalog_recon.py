@@ -68,7 +68,7 @@ def parameter_file_job(spark, sf_dir):
 def _ossps_sql(updates: int, subsets: int) -> str:
     steps = []
     for k in range(updates):
-        part, zeta = f"view % {subsets} = {k % subsets}", 1 / (1 + 0.1 * (k // subsets))
+        part, zeta = f"view % {subsets} = {k % subsets}", 1 / (1 + 0.1 * ((k + 1) // subsets))
         steps.append(
             f"y{k} AS (SELECT image_id, z, view, t, sum(a * value) AS mean FROM x{k} JOIN m USING (y, x) WHERE {part} GROUP BY ALL), "
             f"b{k} AS (SELECT image_id, z, y, x, sum(a * (value / (mean + 0.1) - 1)) AS g FROM p JOIN y{k} USING (image_id, z, view, t) JOIN m USING (view, t) GROUP BY ALL), "

@@ -74,3 +74,15 @@ def log_likelihood_term(y: Column, mean: Column, small: Column | float) -> Colum
     small = small if isinstance(small, Column) else F.lit(float(small))
     m = F.greatest(mean, y / 10000.0)
     return F.when(y <= small, -m).otherwise(y * F.log(m) - m)
+
+
+def seconds_of_stamp(stamp: Column) -> Column:
+    """Seconds since 1970 of yyyyMMddHHmmss[.fraction][+hhmm]; without an offset UTC is meant, another form is null."""
+    form = r"^(\d{8})(\d{6})(\.\d+)?([+-]\d{4})?$"
+    part = lambda i: F.regexp_extract(stamp, form, i)
+    day = F.datediff(F.try_to_timestamp(part(1), F.lit("yyyyMMdd")), F.lit("1970-01-01").cast("date")).cast("double") * 86400
+    two = lambda text, at: F.substring(text, at, 2).cast("double")
+    clock = two(part(2), 1) * 3600 + two(part(2), 3) * 60 + two(part(2), 5)
+    fraction = F.when(part(3) == "", 0.0).otherwise(F.concat(F.lit("0"), part(3)).try_cast("double"))
+    offset = F.when(part(4) == "", 0.0).otherwise(F.when(F.substring(part(4), 1, 1) == "-", -1.0).otherwise(1.0) * (two(part(4), 2) * 3600 + two(part(4), 4) * 60))
+    return F.when(stamp.rlike(form), day + clock + fraction - offset)

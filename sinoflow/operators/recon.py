@@ -117,14 +117,14 @@ def map_osl(matrix: DataFrame, data: DataFrame, start: DataFrame, image_key: str
 def ossps(matrix: DataFrame, data: DataFrame, start: DataFrame, by: list[str], n_subsets: int, n_updates: int, relaxation: float = 1.0, gamma: float = 0.1, background: float = 0.0, upper: float = 1e6, small: float = 1e-10) -> DataFrame:
     """Separable paraboloidal surrogates: x <- clamp(x + zeta * subsets * gradient / D, 0, upper).
 
-    D is the back projection of (the projection of ones) / measured, zeta = relaxation / (1 + gamma * full iterations so far).
+    D is the back projection of (the projection of ones) / measured, zeta = relaxation / (1 + gamma * full iterations, the update under way counted).
     """
     keys, image = [*by, "y", "x"], start
     ones = matrix.groupBy("view", "t").agg(F.sum("a").alias("ones"))
     curved = data.join(ones, ["view", "t"]).select(*by, "view", "t", safe_divide(F.col("ones"), F.col("value"), small).alias("value"))
     bound = saved(backward(matrix, curved, by).withColumnRenamed("value", "bound"))
     for update in range(n_updates):
-        zeta = relaxation / (1 + gamma * (update // n_subsets))
+        zeta = relaxation / (1 + gamma * ((update + 1) // n_subsets))
         part = matrix.filter(F.pmod("view", F.lit(n_subsets)) == update % n_subsets)
         own = data.filter(F.pmod("view", F.lit(n_subsets)) == update % n_subsets)
         rest = _with_estimate(part, own, image, by, background).select(*by, "view", "t", (safe_divide(F.col("value"), F.col("mean"), small) - 1).alias("value"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from sinoflow.operators import recon, stencil
+from sinoflow.operators import penalised, recon, stencil
 from sinoflow.sources import headers
 
 _FILTERS: dict[str, Callable] = {}
@@ -78,12 +78,14 @@ def _osmaposl(matrix, data, start, image_key, p: dict) -> DataFrame:
 
 @register(_METHODS, "OSSPS")
 def _ossps(matrix, data, start, image_key, p: dict) -> DataFrame:
-    if str(find(p, "prior type", "none")).lower() not in ("none", "", "0"):
-        raise ValueError("OSSPS takes no prior")
-    return recon.ossps(
-        matrix, data, start, [image_key, "z"], int(find(p, "number of subsets", 1)), int(find(p, "number of subiterations", 1)),
-        float(find(p, "relaxation parameter", 1)), float(find(p, "relaxation gamma", 0.1)),
-    )
+    prior = str(find(p, "prior type", "none")).lower()
+    subsets, updates = int(find(p, "number of subsets", 1)), int(find(p, "number of subiterations", 1))
+    steps = {"relaxation": float(find(p, "relaxation parameter", 1)), "gamma": float(find(p, "relaxation gamma", 0.1))}
+    if prior in ("none", "", "0"):
+        return recon.ossps(matrix, data, start, [image_key, "z"], subsets, updates, **steps)
+    if prior != "quadratic":
+        raise ValueError(f"prior type {prior}")
+    return penalised.ossps(matrix, data, start, image_key, subsets, updates, float(find(p, "penalisation factor", 0)), **steps)
 
 
 def run(text: str, matrix: DataFrame, data: DataFrame, start: DataFrame, image_key: str = "image_id") -> DataFrame:

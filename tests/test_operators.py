@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sinoflow.operators import analysis, arith, listmode, raytrace, rebin, recon, reduce
+from sinoflow.functions import scalar
+from sinoflow.operators import analysis, arith, frames, listmode, penalised, raytrace, rebin, recon, reduce
+from sinoflow.plans import job
 from sinoflow.sources import headers
 
 
@@ -72,3 +74,55 @@ def test_gates(spark, tmp_path):
     path.write_text("1 -4\n")
     with pytest.raises(Exception, match="not a gate"):
         headers.read_gates(spark, str(path)).collect()
+
+
+def test_bootstrap(spark):
+    """As many draws as events, whatever the partitions; the numbers of draws are spread like Poisson's of mean 1."""
+    events = spark.range(6000).select(F.col("id").alias("rec_no"), (F.col("id") % 2).alias("ring"))
+    found = frames.bootstrap(events, ["ring"])
+    assert found.exceptAll(frames.bootstrap(events.repartition(5), ["ring"])).count() == 0
+    for r in found.groupBy("ring").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("k"), F.avg((F.col("times") == 0).cast("double")).alias("none")).collect():
+        assert r.n == r.k == 3000 and abs(r.none - 0.3679) < 0.03
+    assert frames.bootstrap(events.limit(0), ["ring"]).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["quadratic", "logcosh", "relative_difference"])
+def test_hessian_is_the_change_of_the_gradient(spark, kind):
+    rows = [(0, z, y, x, 1.0 + ((3 * z + 5 * y + 7 * x) % 11) / 4, ((z + 2 * y + x) % 5) / 3.0) for z in range(3) for y in range(3) for x in range(3)]
+    image = spark.createDataFrame(rows, "k int, z int, y int, x int, value double, input double")
+    step = 1e-5
+    moved = [penalised.weighted_prior(image.withColumn("value", F.col("value") + s * F.col("input")), ["k"], kind) for s in (step, -step)]
+    of = lambda df, c: {(r.z, r.y, r.x): r[c] for r in df.collect()}
+    up, down = of(moved[0], "gradient"), of(moved[1], "gradient")
+    for at, v in of(penalised.hessian_times(image, ["k"], kind), "output").items():
+        assert v == pytest.approx((up[at] - down[at]) / (2 * step), abs=1e-6)
+
+
+def test_metz_kernel():
+    """Power 0 is the Gaussian; any power keeps the sum and sharpens."""
+    import math
+
+    sigma = 3.0 / math.sqrt(8 * math.log(2))
+    plain = penalised.metz_kernel(3.0, 0.0, 8)
+    assert plain == pytest.approx([math.exp(-(k * k) / (2 * sigma * sigma)) / (sigma * math.sqrt(2 * math.pi)) for k in range(-8, 9)], abs=1e-3)
+    sharp = penalised.metz_kernel(3.0, 2.0, 20)
+    assert sum(sharp) == pytest.approx(1, abs=1e-3) and sharp[20] > plain[8]
+    assert penalised.metz_kernel(200.0, 1.0, 1)[1] < 0.1  # so wide that its transfer function underflows
+
+
+def test_job_of_ossps_takes_its_prior(spark):
+    m = recon.parallel_matrix(spark, 4)
+    image = spark.createDataFrame([(0, 0, y, x, float(1 + x * y)) for y in range(4) for x in range(4)], "image_id int, z int, y int, x int, value double")
+    data, ones = recon.forward(m, image, ["image_id", "z"]), image.withColumn("value", F.lit(1.0))
+    text = "OSSPSParameters :=\nprior type := quadratic\npenalisation factor := {}\nnumber of subsets := 2\nnumber of subiterations := 3\nEND :="
+    spread = lambda beta: job.run(text.format(beta), m, data, ones).agg(F.stddev_pop("value")).first()[0]
+    none, much = spread(0), spread(50)
+    assert none == pytest.approx(recon.ossps(m, data, ones, ["image_id", "z"], 2, 3).agg(F.stddev_pop("value")).first()[0])
+    assert much < 0.5 * none
+
+
+def test_stamps_and_frames(spark):
+    stamps = spark.createDataFrame([("19700102000001.5-0100",), ("20000101000000",), ("no",), (None,)], "s string")
+    assert [r[0] for r in stamps.select(scalar.seconds_of_stamp(F.col("s"))).collect()] == [86400 + 3601.5, 946684800.0, None, None]
+    with pytest.raises(Exception, match="frame without times"):
+        frames.calibrated(spark.createDataFrame([(2, 1.0)], "frame int, value double"), [(0.0, 1.0)], 10.0).collect()
