@@ -126,3 +126,16 @@ def test_stamps_and_frames(spark):
     assert [r[0] for r in stamps.select(scalar.seconds_of_stamp(F.col("s"))).collect()] == [86400 + 3601.5, 946684800.0, None, None]
     with pytest.raises(Exception, match="frame without times"):
         frames.calibrated(spark.createDataFrame([(2, 1.0)], "frame int, value double"), [(0.0, 1.0)], 10.0).collect()
+
+
+def test_singles_are_added_in_order_of_time(spark):
+    """Each share is count times overlap over length; the last digit does not depend on partitions."""
+    slices = [(u, 7200.0 * k, 7200.0 * (k + 1), (13 * k + 5 * u) % 23 + 1) for u in range(4) for k in range(50)]
+    want = {}
+    for u, a, b, n in slices:
+        for k in range(int(a // 10_000), int(-(-b // 10_000))):
+            c = k * 10_000.0
+            want[u, c] = want.get((u, c), 0.0) + n * (min(b, c + 10_000) - max(a, c)) / (b - a)
+    for rows in (slices, slices[::-1], slices[::2] + slices[1::2]):
+        df = spark.createDataFrame(rows, "unit int, start_s double, end_s double, n long").repartition(7)
+        assert {(r.unit, r.slice_s): r.n for r in listmode.singles_rebin(df, 10_000.0).collect()} == want
