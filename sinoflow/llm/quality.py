@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under interpolated modified Kneser-Ney models of trusted text.
 
-The models are of pairs of words. The vocabulary are words that occur in a number of trusted documents of a language
-that grows with the square root of how many there are; each other word stands as its class (case, signs, length and
+The models are of pairs of words. The vocabulary are words that occur in ``RARE`` trusted documents of a
+language, however many there are; each other word stands as its class (case, signs, length and
 ending), whose probability is shared by as many spellings as trusted text shows. Trusted documents are dealt out to two
 models by a hash of doc_id, and each document, trusted or not, is scored by the model that its doc_id does not belong
 to: no model judges texts that it was fitted on, and all trusted text counts.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from sinoflow.llm import common
 
 QUANTILE = 0.99
-#: A word of the vocabulary is in this many trusted documents of a language at least: RARE, or their number's square root over SPARSE.
-RARE, SPARSE = 3, 16
+#: A word of the vocabulary is in RARE trusted documents of a language at least. That does not grow with their number, as it did by its square root over SPARSE.
+RARE, SPARSE = 3, float("inf")
 #: Most ids of trusted documents (8 bytes each) that are broadcast; beyond it documents are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Most words of the vocabulary (56 bytes each) that are broadcast.
@@ -163,8 +163,7 @@ def word_documents(trusted: DataFrame) -> DataFrame:
 
 def vocabulary_table(trusted: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """w of the vocabulary, the spellings of each class outside it, and a bound on distinct pairs of words."""
-    tongues = trusted.groupBy(F.xxhash64("lang").alias("tongue")).agg(F.greatest(F.lit(RARE), F.ceil(F.sqrt(F.count(F.lit(1))) / SPARSE)).alias("least"))
-    words = word_documents(trusted).join(tongues, "tongue").groupBy("w").agg(F.max(F.col("n") >= F.col("least")).alias("known"), F.sum("n").alias("n"))
+    words = word_documents(trusted).groupBy("w").agg(F.max(F.col("n") >= RARE).alias("known"), F.sum("n").alias("n"))
     words = common.materialize(words, "quality-words")
     known = common.materialize(words.filter("known").select("w"), "quality-vocabulary")
     spellings, total = np.ones(FIRST), 0

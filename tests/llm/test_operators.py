@@ -368,6 +368,16 @@ def test_quality_knows_words(spark):
     assert all(got[i].perplexity < 1000 for i in range(600)) and len(got) == len(texts)
 
 
+def test_quality_vocabulary_of_any_size(spark):
+    """A word of three trusted documents of a language is known, among 3000 documents as among 30."""
+    seldom = int(quality.Words().values_of(["seldom"]).view(np.int64)[0])
+    for n in (30, 3000):
+        docs = rows(spark, [(i, f"often here{' seldom' * (i < 3)}{' twice' * (i < 2)}") for i in range(n)])
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+        known = quality.vocabulary_table(quality.trusted_documents(docs, quality.trusted_ids(labels)))[0]
+        assert known.count() == 3 and known.filter(F.col("w") == seldom).count() == 1
+
+
 def brute_perplexities(texts, good):
     """Interpolated modified Kneser-Ney over pairs, in plain Python; half of a document as Spark's hash gives it."""
     docs = {i: (t or "").split() for i, (t, _) in texts.items()}
