@@ -161,7 +161,7 @@ def test_curvatures_broadcast_no_voxels(spark, tmp_path):
     assert "Broadcast" not in _plan(penalised.surrogate_curvature(_vectors(spark, tmp_path), ["image_id"], "logcosh"))
 
 
-@pytest.mark.parametrize("multiplicative", [False])
+@pytest.mark.parametrize("multiplicative", [False, True])
 def test_map_updates_broadcast_no_voxels(spark, tmp_path, monkeypatch, multiplicative):
     """Only the matrix and its sums are broadcast, by bins or pixels; joins by image merge."""
     plans = []
