@@ -151,7 +151,7 @@ def _vectors(spark, tmp_path):
     return tables.images(spark, str(tmp_path))
 
 
-@pytest.mark.parametrize("kind", ["logcosh", "quadratic"])
+@pytest.mark.parametrize("kind", ["logcosh", "quadratic", "relative_difference"])
 def test_priors_broadcast_no_voxels(spark, tmp_path, kind):
     """A voxel and its 26 neighbours are taken for as few bytes as the file has."""
     assert "Broadcast" not in _plan(stencil.prior(_vectors(spark, tmp_path), ["image_id"], kind))
