@@ -170,3 +170,12 @@ def test_map_updates_broadcast_no_voxels(spark, tmp_path, monkeypatch, multiplic
     recon.map_osl(m, recon.forward(m, image, ["image_id", "z"]), image.withColumn("value", F.lit(1.0)), "image_id", 2, 1, 0.2, multiplicative=multiplicative)
     joins = [line for line in plans[0].splitlines() if "Join" in line]
     assert joins and not any("Broadcast" in line and "image_id" in line for line in joins)
+
+
+def test_job_with_a_prior_broadcasts_no_voxels(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(recon, "saved", lambda df: plans.append(_plan(df)) or df)
+    m, image = recon.parallel_matrix(spark, 8), _vectors(spark, tmp_path)
+    text = "OSMAPOSLParameters :=\nprior type := quadratic\npenalisation factor := 0.2\nnumber of subsets := 2\nnumber of subiterations := 1\nEND :="
+    job.run(text, m, recon.forward(m, image, ["image_id", "z"]), image.withColumn("value", F.lit(1.0)))
+    assert plans and not any("Broadcast" in line and "image_id" in line for line in plans[0].splitlines() if "Join" in line)
