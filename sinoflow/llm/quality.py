@@ -6,8 +6,9 @@ ending), whose probability is shared by as many spellings as trusted text shows.
 models by a hash of doc_id, and each document, trusted or not, is scored by the model that its doc_id does not belong
 to: no model judges texts that it was fitted on, and all trusted text counts.
 
-Counts of pairs are sharded by a hash of the pair, so that a frequent word is spread over all shards. Documents ask the
-shards for their pairs and get back partial sums of log probabilities. Both travel packed: pairs of a block of documents
+Counts of pairs are sharded by a hash of the pair, so that a frequent word is spread over all shards. The ``FREQUENT`` most
+frequent pairs are broadcast and scored where the document is; for all others documents ask the
+shards and get back partial sums of log probabilities. Both travel packed: pairs of a block of documents
 sorted, as differences in byte planes. What the models know of single words has a bound of rows and is broadcast; beyond
 it the same model is counted and joined as plain tables (``joined_scores``).
 A document is rejected above a high quantile of the perplexities of trusted documents of its language.
@@ -31,6 +32,8 @@ RARE, SPARSE = 3, float("inf")
 BROADCAST_IDS = 2_000_000
 #: Most words of the vocabulary (56 bytes each) that are broadcast.
 BROADCAST_WORDS = 2_000_000
+#: Pairs of words (16 bytes each) that are broadcast with their counts; scores are the same with any number of them.
+FREQUENT = 1 << 20
 #: Trusted words a shard, tokens and documents of a block, words that a worker remembers, ids in a piece of the word statistics.
 SHARD_WORDS, BLOCK_TOKENS, BLOCK_DOCS, CACHE_WORDS, PIECE = 1 << 20, 1 << 19, 1 << 14, 150_000, 1 << 16
 #: Characters of texts split into words at once.
@@ -316,16 +319,55 @@ def word_statistics(counts: DataFrame, taken: list[list[float]], codes: int) ->
     return whole[:, :, :codes]
 
 
+class Pairs:
+    """Pairs in order and their counts; pickled as ``common.pack`` does, as each executor keeps broadcasts on its disk."""
+
+    def __init__(self, g: np.ndarray, n: np.ndarray):
+        self.g, self.n = g, n
+
+    def __reduce__(self):
+        return Pairs.packed, (common.pack(_gaps(self.g), self.n),)
+
+    @staticmethod
+    def packed(data: bytes) -> Pairs:
+        gaps, n = common.unpack(data)
+        return Pairs(np.cumsum(gaps), n.astype(np.int64))
+
+    def counts(self, g: np.ndarray) -> np.ndarray:
+        """Of pairs g, 0 where they are not among these."""
+        if not len(self.g):
+            return np.zeros(len(g), np.int64)
+        at = np.minimum(np.searchsorted(self.g, g), len(self.g) - 1)
+        return np.where(self.g[at] == g, self.n[at], 0)
+
+
+def frequent_pairs(counts: DataFrame, shards: int, most: int) -> Pairs:
+    """About ``most`` pairs in all: the most frequent of each shard, to which a hash dealt them."""
+    per = -(-most // shards)
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                gaps, n = common.unpack(data.as_py())
+                at = np.sort(np.argsort(-n.astype(np.int64), kind="stable")[:per])
+                yield _batch("data", [common.pack(_gaps(np.cumsum(gaps)[at]), n[at])])
+
+    rows = counts.select("data").mapInArrow(common.released(run), "data binary").collect()  # a row a shard
+    found = [Pairs.packed(bytes(r.data)) for r in rows] or [Pairs(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    g, n = np.concatenate([x.g for x in found]), np.concatenate([x.n for x in found])
+    at = np.argsort(g)
+    return Pairs(g[at], n[at])
+
+
 class SingleWords:
     """What each model knows of single codes: total as left word, weight ``back`` of the lower order, lower-order share ``one`` over a code's spellings."""
 
     def __init__(self, statistics: np.ndarray, spellings: np.ndarray):
         codes = statistics.shape[2]
-        self.total = statistics[:, 0]
+        self.total = statistics[:, 0].copy()  # without the other numbers
         self.back = np.where(self.total > 0, statistics[:, 1] / np.maximum(self.total, 1), 1.0)
         self.one = np.empty((2, codes))
-        self.spelled = np.ones(codes)
-        self.spelled[: len(spellings)] = spellings
+        self.spelled = spellings  # of codes below FIRST; others have one
         for m in (0, 1):
             c = statistics[m, 2]
             off = _taken(c, discounts(*_counts_of_counts(c[c > 0])))
@@ -333,15 +375,38 @@ class SingleWords:
             self.one[m] = (c - off) / whole + (off.sum() / whole if c.any() else 1.0) / max(1, codes - 1)
         self.judge = bool(self.total.any(axis=1).all())
 
-
-def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, taken: list[list[float]], keys: list[int]) -> DataFrame:
+    def __reduce__(self):
+        """Most words are rare and share few values: pickled as the different ones and places among them."""
+        parts = [np.unique(x, return_inverse=True) for m in (0, 1) for x in (self.total[m], self.back[m], self.one[m])]
+        return SingleWords.packed, (common.pack(*(c for values, at in parts for c in (values.view(np.uint64), at))), self.spelled, self.judge)
+
+    @classmethod
+    def packed(cls, data: bytes, spelled: np.ndarray, judge: bool) -> SingleWords:
+        new, parts = cls.__new__(cls), common.unpack(data)
+        new.total, new.back, new.one = (np.stack([parts[6 * m + 2 * i].view(np.float64)[parts[6 * m + 2 * i + 1].astype(np.int64)] for m in (0, 1)]) for i in range(3))
+        new.spelled, new.judge = spelled, judge
+        return new
+
+    def costs(self, g: np.ndarray, seen: np.ndarray, taken: list[list[float]], n: np.ndarray) -> np.ndarray:
+        """Minus the log probability, n times, of pairs g that their models counted ``seen`` times."""
+        m, left, right = (g >> _MODEL).astype(np.int64), ((g >> _LEFT) & _MASK).astype(np.int64), (g & _MASK).astype(np.int64)
+        p = self.back[m, left] * self.one[m, right]
+        for k in (0, 1):
+            own = np.flatnonzero((seen > 0) & (m == k))
+            p[own] += (seen[own] - _taken(seen[own], taken[k])) / self.total[k, left[own]]
+        few = np.flatnonzero(right < len(self.spelled))
+        p[few] /= self.spelled[right[few]]
+        return -n.astype(np.float64) * np.log(p)
+
+
+def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, frequent, taken: list[list[float]], keys: list[int]) -> DataFrame:
     """doc_id, lang, n_words, perplexity of every row; perplexity is null without words."""
 
     def ask(batches):
         from pyspark import TaskContext
 
         words, block = Codes(vocabulary.value), TaskContext.get().partitionId() << 31
-        held, about, size = [], [], 0
+        know, known, held, about, size = single.value, frequent.value, [], [], 0
 
         def out():
             g, owner = np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), i, np.int64) for x, i in held])
@@ -350,13 +415,17 @@ def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, taken
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])]))
             n = np.diff(np.append(first, len(g)))
             g, owner = g[first], owner[first]
+            seen = known.counts(g)
+            at, rest = np.flatnonzero(seen), np.flatnonzero(seen == 0)
+            costs = np.bincount(owner[at], know.costs(g[at], seen[at], taken, n[at]), len(about))
+            g, owner, n = g[rest], owner[rest], n[rest]
             home = block % len(keys)
             parts = {home: np.zeros(0, np.int64)} | dict(_dealt(g, len(keys)))
             for s, at in parts.items():
-                told = [list(x) for x in zip(*about, strict=True)] if s == home else [None] * 3
+                told = [*map(list, zip(*about, strict=True)), costs.tolist()] if s == home else [None] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[s]], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.int64()), pa.array([common.pack(_gaps(g[at]), owner[at], n[at])], pa.binary()), pa.array([told[0]], pa.list_(pa.int64())), pa.array([told[1]], pa.list_(pa.string())), pa.array([told[2]], pa.list_(pa.int64()))],
-                    names=["shard", "kind", "block", "data", "ids", "langs", "sizes"],
+                    [pa.array([keys[s]], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.int64()), pa.array([common.pack(_gaps(g[at]), owner[at], n[at])], pa.binary()), pa.array([told[0]], pa.list_(pa.int64())), pa.array([told[1]], pa.list_(pa.string())), pa.array([told[2]], pa.list_(pa.int64())), pa.array([told[3]], pa.list_(pa.float64()))],
+                    names=["shard", "kind", "block", "data", "ids", "langs", "sizes", "costs"],
                 )
 
         for batch in batches:
@@ -371,38 +440,29 @@ def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, taken
             yield from out()
 
     def answer(batches):
-        know, now, seen, n_seen = single.value, None, np.zeros(0, np.uint64), np.zeros(0)
+        know, now, seen = single.value, None, None
         for batch in batches:
             for i, (shard, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                got = common.unpack(batch.column(3)[i].as_py())
-                g = np.cumsum(got[0])
                 if kind == 0:
-                    now, seen, n_seen = shard, g, got[1].astype(np.int64)
+                    now, seen = shard, Pairs.packed(batch.column(3)[i].as_py())
                     continue
                 if shard != now:  # no trusted pair fell into this shard
-                    now, seen, n_seen = shard, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                m, left, right = (g >> _MODEL).astype(np.int64), ((g >> _LEFT) & _MASK).astype(np.int64), (g & _MASK).astype(np.int64)
-                p = know.back[m, left] * know.one[m, right]
-                if len(seen):
-                    at = np.minimum(np.searchsorted(seen, g), len(seen) - 1)
-                    hit = np.flatnonzero(seen[at] == g)
-                    for k in (0, 1):
-                        own = hit[m[hit] == k]
-                        n = n_seen[at[own]]
-                        p[own] += (n - _taken(n, taken[k])) / know.total[k, left[own]]
-                cost = got[2].astype(np.float64) * np.log(p / know.spelled[right])
+                    now, seen = shard, Pairs(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                got = common.unpack(batch.column(3)[i].as_py())
+                g = np.cumsum(got[0])
+                cost = know.costs(g, seen.counts(g), taken, got[2])
                 owner = got[1].astype(np.int64)
                 sums = np.bincount(owner, cost) if len(owner) else np.zeros(0)
                 at = np.flatnonzero(np.bincount(owner)) if len(owner) else np.zeros(0, np.int64)
-                data = common.pack(_gaps(at.astype(np.uint64)), (-sums[at]).astype(np.float32).view(np.uint32))
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1), pa.array([data], pa.binary()), *(batch.column(c).slice(i, 1) for c in (4, 5, 6))], names=["block", "data", "ids", "langs", "sizes"])
+                data = common.pack(_gaps(at.astype(np.uint64)), sums[at].astype(np.float32).view(np.uint32))
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1), pa.array([data], pa.binary()), *(batch.column(c).slice(i, 1) for c in (4, 5, 6, 7))], names=["block", "data", "ids", "langs", "sizes", "costs"])
 
     def gather(batches):
         now, sums, told = None, None, None
 
         def out():
             n = np.array(told[2], np.int64)
-            cost = [float(np.exp(c / k)) if k else None for c, k in zip(sums[: len(n)].tolist(), n.tolist(), strict=True)]
+            cost = [float(np.exp(c / k)) if k else None for c, k in zip((sums[: len(n)] + told[3]).tolist(), n.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(told[0], pa.int64()), pa.array(told[1], pa.string()), pa.array(n), pa.array(cost, pa.float64())], names=["doc_id", "lang", "n_words", "perplexity"])
 
         for batch in batches:
@@ -413,16 +473,16 @@ def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, taken
                     now, sums, told = block, np.zeros(BLOCK_DOCS), None
                 gaps, cost = common.unpack(batch.column(1)[i].as_py())
                 sums[np.cumsum(gaps).astype(np.int64)] += cost.astype(np.uint32).view(np.float32)
-                told = told or (batch.column(2)[i].is_valid and [batch.column(c)[i].as_py() for c in (2, 3, 4)] or None)
+                told = told or (batch.column(2)[i].is_valid and [batch.column(c)[i].as_py() for c in (2, 3, 4, 5)] or None)
         if now is not None:
             yield out()
 
     common.bounded_batches(docs.sparkSession)
-    asked = _rows(docs).mapInArrow(common.released(ask), "shard int, kind int, block long, data binary, ids array<long>, langs array<string>, sizes array<long>")
+    asked = _rows(docs).mapInArrow(common.released(ask), "shard int, kind int, block long, data binary, ids array<long>, langs array<string>, sizes array<long>, costs array<double>")
     null = lambda kind: F.lit(None).cast(kind)
-    known = counts.select("shard", F.lit(0).alias("kind"), null("long").alias("block"), "data", null("array<long>").alias("ids"), null("array<string>").alias("langs"), null("array<long>").alias("sizes"))
+    known = counts.select("shard", F.lit(0).alias("kind"), null("long").alias("block"), "data", null("array<long>").alias("ids"), null("array<string>").alias("langs"), null("array<long>").alias("sizes"), null("array<double>").alias("costs"))
     dealt = known.unionByName(asked).repartition(len(keys), "shard").sortWithinPartitions("shard", "kind")
-    told = dealt.mapInArrow(common.released(answer), "block long, data binary, ids array<long>, langs array<string>, sizes array<long>")
+    told = dealt.mapInArrow(common.released(answer), "block long, data binary, ids array<long>, langs array<string>, sizes array<long>, costs array<double>")
     return told.repartition("block").sortWithinPartitions("block").mapInArrow(common.released(gather), _SCORES)
 
 
@@ -499,11 +559,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, bool]:
     counts = pair_counts(trusted, hashes, keys)
     taken = _model_discounts(counts)
     known = SingleWords(word_statistics(counts, taken, FIRST + size), spellings)
-    single = context.broadcast(known)
-    scores = common.materialize(sharded_scores(docs, counts, hashes, single, taken, keys), "quality-scores")
+    single, frequent = context.broadcast(known), context.broadcast(frequent_pairs(counts, len(keys), FREQUENT))
+    scores = common.materialize(sharded_scores(docs, counts, hashes, single, frequent, taken, keys), "quality-scores")
     for table in (vocabulary, counts):
         common.discard(table)
-    for sent in (hashes, single):
+    for sent in (hashes, single, frequent):
         sent.destroy()
     return scores, known.judge
 

@@ -454,6 +454,41 @@ def test_perplexities_by_brute_force(spark, monkeypatch):
         assert r.perplexity is None or r.perplexity == pytest.approx(want[r.doc_id], rel=1e-5)
 
 
+@pytest.mark.parametrize("shards", [1, 9])
+def test_frequent_pairs_are_scored_where_the_document_is(spark, monkeypatch, shards):
+    """Shards are asked for the other pairs alone; perplexities do not depend on how many pairs are broadcast."""
+    docs = rows(spark, [(i, "the old red fox saw the old red hen " * 30 + f"and number {i * i} once{i} of the {i % 9}") for i in range(120)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    trusted = quality.trusted_documents(docs, quality.trusted_ids(labels))
+    got, asked, scores = {}, {}, quality.sharded_scores
+    for most in (0, 40, 1 << 20):
+        seen = []
+        monkeypatch.setattr(quality, "FREQUENT", most)
+        monkeypatch.setattr(quality, "SHARD_WORDS", -(-120 * 280 // shards))
+        monkeypatch.setattr(quality, "sharded_scores", lambda *given: seen.append(len(given[4].value.g)) or scores(*given))
+        got[most] = {r.doc_id: r.perplexity for r in quality.perplexities(docs, trusted)[0].collect()}
+        asked[most] = seen
+    assert asked[0] == [0] and 0 < asked[40][0] <= 40 + shards and asked[40][0] < asked[1 << 20][0]
+    assert len(got[0]) == 120 and all(got[most] == pytest.approx(got[0], rel=1e-5) for most in (40, 1 << 20))
+
+
+def test_broadcasts_of_the_model_are_small():
+    """Each executor writes them to its disk; they come back as they were."""
+    import pickle
+
+    rng = np.random.default_rng(3)
+    n = rng.zipf(1.5, (2, 1, 200_000)).clip(0, 1 << 20).astype(float)
+    know = quality.SingleWords(np.concatenate([n, np.ceil(n / 2) * 0.7, np.ceil(n / 3)], axis=1), np.arange(1.0, quality.FIRST + 1))
+    data = pickle.dumps(know)
+    back = pickle.loads(data)
+    assert len(data) < 200_000 * 14  # 56 as plain numbers
+    assert all((getattr(know, x) == getattr(back, x)).all() for x in ("total", "back", "one", "spelled")) and back.judge == know.judge
+    pairs = quality.Pairs(np.unique(rng.integers(0, 1 << 50, 10_000)).astype(np.uint64), np.arange(1, 10_001))
+    again = pickle.loads(pickle.dumps(pairs))
+    assert (again.g == pairs.g).all() and (again.n == pairs.n).all()
+    assert again.counts(np.array([pairs.g[7], pairs.g[7] + np.uint64(1)])).tolist() == [8, 0]
+
+
 def test_packed_columns():
     rng = np.random.default_rng(1)
     columns = [np.sort(rng.integers(0, 1 << 62, 1000)).astype(np.uint64), np.zeros(5, np.uint64), np.zeros(0, np.uint64), np.array([255, 256, (1 << 64) - 1], np.uint64)]
