@@ -554,7 +554,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, bool]:
     if size > BROADCAST_WORDS:
         scores, judge = joined_scores(docs, trusted, vocabulary, spellings)
         return common.materialize(scores, "quality-scores"), judge
-    hashes = context.broadcast(np.sort(np.array([r.w for r in vocabulary.collect()], np.int64).view(np.uint64)))
+    hashes = context.broadcast(np.sort(vocabulary.toArrow().column("w").to_numpy().view(np.uint64)))  # as rows they would take many times their 8 bytes
     keys = common.spread_keys(docs.sparkSession, max(1, -(-words // SHARD_WORDS)))
     counts = pair_counts(trusted, hashes, keys)
     taken = _model_discounts(counts)

@@ -489,6 +489,22 @@ def test_broadcasts_of_the_model_are_small():
     assert again.counts(np.array([pairs.g[7], pairs.g[7] + np.uint64(1)])).tolist() == [8, 0]
 
 
+def test_vocabulary_reaches_the_driver_without_rows(spark, monkeypatch):
+    """A row of Python takes many times the 8 bytes of its word."""
+    many = [" ".join(f"w{k:x}" for k in range(5000)) for _ in range(20)]
+    docs, labels = rows(spark, enumerate(many)), spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    trusted, sizes, collect = quality.trusted_documents(docs, quality.trusted_ids(labels)), [], type(docs).collect
+
+    def counted(df):
+        out = collect(df)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    quality.perplexities(docs, trusted)
+    assert sizes and max(sizes) <= 2 * (quality.CLASSES + 1)
+
+
 def test_packed_columns():
     rng = np.random.default_rng(1)
     columns = [np.sort(rng.integers(0, 1 << 62, 1000)).astype(np.uint64), np.zeros(5, np.uint64), np.zeros(0, np.uint64), np.array([255, 256, (1 << 64) - 1], np.uint64)]
