@@ -9,8 +9,9 @@ to: no model judges texts that it was fitted on, and all trusted text counts.
 Counts of pairs are sharded by a hash of the pair, so that a frequent word is spread over all shards. The ``FREQUENT`` most
 frequent pairs are broadcast and scored where the document is; for all others documents ask the
 shards and get back partial sums of log probabilities. Both travel packed: pairs of a block of documents
-sorted, as differences in byte planes. What the models know of single words has a bound of rows and is broadcast; beyond
-it the same model is counted and joined as plain tables (``joined_scores``).
+sorted, as differences in byte planes. What the models know of single words is broadcast, up to a bound of words; of a
+larger vocabulary the ``HEAD_WORDS`` most frequent are, and the few other words of each block of documents are joined with
+their codes and counts (``divided_perplexities``). The model is the same.
 A document is rejected above a high quantile of the perplexities of trusted documents of its language.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinoflow.llm import common
@@ -32,6 +33,8 @@ RARE, SPARSE = 3, float("inf")
 BROADCAST_IDS = 2_000_000
 #: Most words of the vocabulary (56 bytes each) that are broadcast.
 BROADCAST_WORDS = 2_000_000
+#: Words that are broadcast of a larger vocabulary, about; perplexities are the same with any number of them.
+HEAD_WORDS = 1 << 20
 #: Pairs of words (16 bytes each) that are broadcast with their counts; scores are the same with any number of them.
 FREQUENT = 1 << 20
 #: Trusted words a shard, tokens and documents of a block, words that a worker remembers, ids in a piece of the word statistics.
@@ -116,6 +119,16 @@ class Codes(Words):
         return out
 
 
+class Open(Codes):
+    """As ``Codes``, but a word outside ``vocabulary`` keeps its value in ``Words``, which is above all codes."""
+
+    def values_of(self, new: list[str]) -> np.ndarray:
+        h, out = self.hashes(new), super().values_of(new)
+        other = (out < FIRST) & (h > _MASK)
+        out[other] |= h[other]
+        return out
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """good_id of documents that a label calls good and none calls bad or toxic; written to the shared folder."""
     per = labels.groupBy(F.col("doc_id").cast("long").alias("good_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
@@ -165,10 +178,10 @@ def word_documents(trusted: DataFrame) -> DataFrame:
 
 
 def vocabulary_table(trusted: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """w of the vocabulary, the spellings of each class outside it, and a bound on distinct pairs of words."""
+    """w of the vocabulary with n, its number of documents, the spellings of each class outside it, and a bound on distinct pairs of words."""
     words = word_documents(trusted).groupBy("w").agg(F.max(F.col("n") >= RARE).alias("known"), F.sum("n").alias("n"))
     words = common.materialize(words, "quality-words")
-    known = common.materialize(words.filter("known").select("w"), "quality-vocabulary")
+    known = common.materialize(words.filter("known").select("w", "n"), "quality-vocabulary")
     spellings, total = np.ones(FIRST), 0
     for r in words.groupBy("known", F.expr("cast(w & 127 as int)").alias("k")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect():  # two rows a class
         spellings[r.k] += 0 if r.known else r.words
@@ -219,21 +232,32 @@ def _gaps(g: np.ndarray) -> np.ndarray:
 def pair_counts(trusted: DataFrame, vocabulary, keys: list[int]) -> DataFrame:
     """A row a shard: its pairs g (model, left, right word) and counts, packed, and per model their counts of counts; written."""
 
+    def documents(batches):
+        words = Codes(vocabulary.value)
+        for batch in batches:
+            yield from zip(words.of(batch.column(0)), batch.column(1).to_pylist(), strict=True)
+
+    common.bounded_batches(trusted.sparkSession)
+    return _pair_counts(trusted.select("text", "half"), documents, keys)
+
+
+def _pair_counts(rows: DataFrame, documents, keys: list[int]) -> DataFrame:
+    """``documents`` makes codes and half of each document out of batches of rows."""
+
     def run(batches):
-        words, held, size = Codes(vocabulary.value), [], 0
+        held, size = [], 0
 
         def out():
             g, n = np.unique(np.concatenate(held), return_counts=True)
             for s, at in _dealt(g, len(keys)):
                 yield _batch("shard data", np.array([keys[s]], np.int32), [common.pack(_gaps(g[at]), n[at])])
 
-        for batch in batches:
-            for w, half in zip(words.of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                held.append((np.uint64(half) << _MODEL) | (w[:-1] << _LEFT) | w[1:])
-                size += len(w)
-                if size > BLOCK_TOKENS:
-                    yield from out()
-                    held, size = [], 0
+        for w, half in documents(batches):
+            held.append((np.uint64(half) << _MODEL) | (w[:-1] << _LEFT) | w[1:])
+            size += len(w)
+            if size > BLOCK_TOKENS:
+                yield from out()
+                held, size = [], 0
         if size:
             yield from out()
 
@@ -263,8 +287,7 @@ def pair_counts(trusted: DataFrame, vocabulary, keys: list[int]) -> DataFrame:
         if held:
             yield from out()
 
-    common.bounded_batches(trusted.sparkSession)
-    rows = trusted.select("text", "half").mapInArrow(common.released(run), "shard int, data binary")
+    rows = rows.mapInArrow(common.released(run), "shard int, data binary")
     rows = rows.repartition(len(keys), "shard").sortWithinPartitions("shard").mapInArrow(common.released(merge), "shard int, data binary, ones array<long>")
     return common.materialize(rows, "quality-pairs")
 
@@ -275,7 +298,7 @@ def _model_discounts(counts: DataFrame) -> list[list[float]]:
 
 
 def word_statistics(counts: DataFrame, taken: list[list[float]], codes: int) -> np.ndarray:
-    """Per model and code: how often it stands left, what discounting takes of that, and how many words stand left of it.
+    """Per model and code below ``codes``: how often it stands left, what discounting takes of that, and how many words stand left of it.
 
     Shards sum pieces of the codes; pieces are summed over the shards, and come as 3 numbers a code, which
     ``BROADCAST_WORDS`` bounds.
@@ -290,6 +313,8 @@ def word_statistics(counts: DataFrame, taken: list[list[float]], codes: int) ->
                 for m in (0, 1):
                     own = g >> _MODEL == m
                     left, right, k = ((g[own] >> _LEFT) & _MASK).astype(np.int64), (g[own] & _MASK).astype(np.int64), n[own]
+                    near = left < codes
+                    left, k, right = left[near], k[near], right[right < codes]
                     sums = [np.bincount(left, k, codes), np.bincount(left, _taken(k, taken[m]), codes), np.bincount(right, minlength=codes)]
                     for p in range(pieces):
                         part = np.stack([x[p * PIECE : (p + 1) * PIECE] for x in sums])
@@ -359,20 +384,30 @@ def frequent_pairs(counts: DataFrame, shards: int, most: int) -> Pairs:
     return Pairs(g[at], n[at])
 
 
+def _parts(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Model, left and right word of pairs."""
+    return (g >> _MODEL).astype(np.int64), ((g >> _LEFT) & _MASK).astype(np.int64), (g & _MASK).astype(np.int64)
+
+
 class SingleWords:
     """What each model knows of single codes: total as left word, weight ``back`` of the lower order, lower-order share ``one`` over a code's spellings."""
 
-    def __init__(self, statistics: np.ndarray, spellings: np.ndarray):
-        codes = statistics.shape[2]
+    def __init__(self, statistics: np.ndarray, spellings: np.ndarray, others: int = 0, beyond: np.ndarray | None = None):
+        """others: codes that follow those of ``statistics``; beyond: per model how many of them have 1, 2, 3, 4, 3 or more words left of them, and all these words."""
+        codes = statistics.shape[2] + others
+        beyond = np.zeros((2, 6)) if beyond is None else beyond
         self.total = statistics[:, 0].copy()  # without the other numbers
         self.back = np.where(self.total > 0, statistics[:, 1] / np.maximum(self.total, 1), 1.0)
-        self.one = np.empty((2, codes))
+        self.one, self.lower = np.empty((2, statistics.shape[2])), []  # lower: what gives ``one`` of another code
         self.spelled = spellings  # of codes below FIRST; others have one
         for m in (0, 1):
             c = statistics[m, 2]
-            off = _taken(c, discounts(*_counts_of_counts(c[c > 0])))
-            whole = max(1.0, c.sum())
-            self.one[m] = (c - off) / whole + (off.sum() / whole if c.any() else 1.0) / max(1, codes - 1)
+            d = discounts(*(_counts_of_counts(c[c > 0]) + beyond[m, :4]))
+            off = _taken(c, d)
+            whole = max(1.0, c.sum() + beyond[m, 5])
+            rest = ((off.sum() + beyond[m, [0, 1, 4]] @ d) / whole if c.any() or beyond[m, 5] else 1.0) / max(1, codes - 1)
+            self.one[m] = (c - off) / whole + rest
+            self.lower.append((d, whole, rest))
         self.judge = bool(self.total.any(axis=1).all())
 
     def __reduce__(self):
@@ -387,13 +422,20 @@ class SingleWords:
         new.spelled, new.judge = spelled, judge
         return new
 
-    def costs(self, g: np.ndarray, seen: np.ndarray, taken: list[list[float]], n: np.ndarray) -> np.ndarray:
-        """Minus the log probability, n times, of pairs g that their models counted ``seen`` times."""
-        m, left, right = (g >> _MODEL).astype(np.int64), ((g >> _LEFT) & _MASK).astype(np.int64), (g & _MASK).astype(np.int64)
-        p = self.back[m, left] * self.one[m, right]
+    def costs(self, g: np.ndarray, seen: np.ndarray, taken: list[list[float]], n: np.ndarray, far=None) -> np.ndarray:
+        """Minus the log probability, n times, of pairs g that their models counted ``seen`` times.
+
+        far: the places of pairs with other codes, their lower-order probabilities, and the totals of their left words.
+        """
+        m, left, right = _parts(g)
+        near = slice(None) if far is None else np.delete(np.arange(len(g)), far[0])
+        p, total = np.empty(len(g)), np.empty(len(g))
+        p[near], total[near] = self.back[m[near], left[near]] * self.one[m[near], right[near]], self.total[m[near], left[near]]
+        if far is not None:
+            p[far[0]], total[far[0]] = far[1:]
         for k in (0, 1):
             own = np.flatnonzero((seen > 0) & (m == k))
-            p[own] += (seen[own] - _taken(seen[own], taken[k])) / self.total[k, left[own]]
+            p[own] += (seen[own] - _taken(seen[own], taken[k])) / total[own]
         few = np.flatnonzero(right < len(self.spelled))
         p[few] /= self.spelled[right[few]]
         return -n.astype(np.float64) * np.log(p)
@@ -402,14 +444,40 @@ class SingleWords:
 def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, frequent, taken: list[list[float]], keys: list[int]) -> DataFrame:
     """doc_id, lang, n_words, perplexity of every row; perplexity is null without words."""
 
-    def ask(batches):
-        from pyspark import TaskContext
+    def blocks(batches):
+        for block, about, held in _blocks(batches, Codes(vocabulary.value), BLOCK_TOKENS, BLOCK_DOCS):
+            yield block, about, held, None
 
-        words, block = Codes(vocabulary.value), TaskContext.get().partitionId() << 31
-        know, known, held, about, size = single.value, frequent.value, [], [], 0
+    common.bounded_batches(docs.sparkSession)
+    return _scores(_rows(docs), blocks, counts, single, frequent, taken, keys)
 
-        def out():
-            g, owner = np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), i, np.int64) for x, i in held])
+
+def _blocks(batches, words: Words, tokens: int, documents: int) -> Iterator[tuple[int, list[tuple], list[np.ndarray]]]:
+    """Number, (doc_id, lang, number of words, half) and words of the documents of each block; batches as of ``_rows``."""
+    from pyspark import TaskContext
+
+    block, held, about, size = TaskContext.get().partitionId() << 31, [], [], 0
+    for batch in batches:
+        for doc_id, w, lang, half in zip(batch.column(0).to_pylist(), words.of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            held.append(w)
+            about.append((doc_id, lang, len(w) - 1, half))
+            size += len(w)
+            if size > tokens or len(about) >= documents:
+                yield block, about, held
+                held, about, size, block = [], [], 0, block + 1
+    if about:
+        yield block, about, held
+
+
+def _scores(rows: DataFrame, blocks, counts: DataFrame, single, frequent, taken: list[list[float]], keys: list[int]) -> DataFrame:
+    """``blocks`` makes, out of batches of rows, what ``_blocks`` does with codes for words, and what finds ``far`` of pairs, or None."""
+
+    def ask(batches):
+        know, known = single.value, frequent.value
+
+        def out(block, about, held, find):
+            g = np.concatenate([(np.uint64(1 - half) << _MODEL) | (w[:-1] << _LEFT) | w[1:] for w, (_, _, _, half) in zip(held, about, strict=True)])
+            owner = np.repeat(np.arange(len(held)), [len(w) - 1 for w in held])
             at = np.argsort(g, kind="stable")  # equal pairs stay in order of their documents
             g, owner = g[at], owner[at]
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])]))
@@ -417,27 +485,21 @@ def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, frequ
             g, owner = g[first], owner[first]
             seen = known.counts(g)
             at, rest = np.flatnonzero(seen), np.flatnonzero(seen == 0)
-            costs = np.bincount(owner[at], know.costs(g[at], seen[at], taken, n[at]), len(about))
+            costs = np.bincount(owner[at], know.costs(g[at], seen[at], taken, n[at], find and find(know, g[at])), len(about))
             g, owner, n = g[rest], owner[rest], n[rest]
             home = block % len(keys)
             parts = {home: np.zeros(0, np.int64)} | dict(_dealt(g, len(keys)))
             for s, at in parts.items():
-                told = [*map(list, zip(*about, strict=True)), costs.tolist()] if s == home else [None] * 4
+                told = [*map(list, zip(*(x[:3] for x in about), strict=True)), costs.tolist()] if s == home else [None] * 4
+                far = find and find(know, g[at])
+                packed = None if far is None else common.pack(_gaps(far[0].astype(np.uint64)), far[1].view(np.uint64), far[2].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[s]], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.int64()), pa.array([common.pack(_gaps(g[at]), owner[at], n[at])], pa.binary()), pa.array([told[0]], pa.list_(pa.int64())), pa.array([told[1]], pa.list_(pa.string())), pa.array([told[2]], pa.list_(pa.int64())), pa.array([told[3]], pa.list_(pa.float64()))],
-                    names=["shard", "kind", "block", "data", "ids", "langs", "sizes", "costs"],
+                    [pa.array([keys[s]], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.int64()), pa.array([common.pack(_gaps(g[at]), owner[at], n[at])], pa.binary()), pa.array([told[0]], pa.list_(pa.int64())), pa.array([told[1]], pa.list_(pa.string())), pa.array([told[2]], pa.list_(pa.int64())), pa.array([told[3]], pa.list_(pa.float64())), pa.array([packed], pa.binary())],
+                    names=["shard", "kind", "block", "data", "ids", "langs", "sizes", "costs", "far"],
                 )
 
-        for batch in batches:
-            for doc_id, w, lang, half in zip(batch.column(0).to_pylist(), words.of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                held.append(((np.uint64(1 - half) << _MODEL) | (w[:-1] << _LEFT) | w[1:], len(about)))
-                about.append((doc_id, lang, len(w) - 1))
-                size += len(w)
-                if size > BLOCK_TOKENS or len(about) >= BLOCK_DOCS:
-                    yield from out()
-                    held, about, size, block = [], [], 0, block + 1
-        if about:
-            yield from out()
+        for found in blocks(batches):
+            yield from out(*found)
 
     def answer(batches):
         know, now, seen = single.value, None, None
@@ -450,7 +512,11 @@ def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, frequ
                     now, seen = shard, Pairs(np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 got = common.unpack(batch.column(3)[i].as_py())
                 g = np.cumsum(got[0])
-                cost = know.costs(g, seen.counts(g), taken, got[2])
+                far = batch.column(8)[i].as_py()
+                if far is not None:
+                    far = common.unpack(far)
+                    far = np.cumsum(far[0]).astype(np.int64), far[1].view(np.float64), far[2]
+                cost = know.costs(g, seen.counts(g), taken, got[2], far)
                 owner = got[1].astype(np.int64)
                 sums = np.bincount(owner, cost) if len(owner) else np.zeros(0)
                 at = np.flatnonzero(np.bincount(owner)) if len(owner) else np.zeros(0, np.int64)
@@ -477,73 +543,171 @@ def sharded_scores(docs: DataFrame, counts: DataFrame, vocabulary, single, frequ
         if now is not None:
             yield out()
 
-    common.bounded_batches(docs.sparkSession)
-    asked = _rows(docs).mapInArrow(common.released(ask), "shard int, kind int, block long, data binary, ids array<long>, langs array<string>, sizes array<long>, costs array<double>")
+    asked = rows.mapInArrow(common.released(ask), "shard int, kind int, block long, data binary, ids array<long>, langs array<string>, sizes array<long>, costs array<double>, far binary")
     null = lambda kind: F.lit(None).cast(kind)
-    known = counts.select("shard", F.lit(0).alias("kind"), null("long").alias("block"), "data", null("array<long>").alias("ids"), null("array<string>").alias("langs"), null("array<long>").alias("sizes"), null("array<double>").alias("costs"))
+    known = counts.select("shard", F.lit(0).alias("kind"), null("long").alias("block"), "data", null("array<long>").alias("ids"), null("array<string>").alias("langs"), null("array<long>").alias("sizes"), null("array<double>").alias("costs"), null("binary").alias("far"))
     dealt = known.unionByName(asked).repartition(len(keys), "shard").sortWithinPartitions("shard", "kind")
     told = dealt.mapInArrow(common.released(answer), "block long, data binary, ids array<long>, langs array<string>, sizes array<long>, costs array<double>")
     return told.repartition("block").sortWithinPartitions("block").mapInArrow(common.released(gather), _SCORES)
 
 
-def _pairs_of(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """row, doc_id, lang, half, v, w, n and words of each distinct pair of a row; words outside the vocabulary as classes; a row without words has one null pair."""
+def divided_vocabulary(vocabulary: DataFrame, size: int, most: int) -> tuple[np.ndarray, DataFrame]:
+    """Values in ``Words`` of about the ``most`` frequent words, sorted; w and code of all others, whose codes follow; written."""
+    spark = vocabulary.sparkSession
+    cut = vocabulary.agg(F.percentile_approx("n", 1 - min(1.0, most / size), 100_000)).first()[0]
+    head = np.sort(vocabulary.filter(F.col("n") > cut).select("w").toArrow().column("w").to_numpy().view(np.uint64))
+    parts = max(1, (size - len(head)) // PIECE)
+    tail = vocabulary.filter(F.col("n") <= cut).select("w", F.pmod(F.xxhash64("w"), F.lit(parts)).alias("part"))
+    starts, at = [], FIRST + len(head)
+    for r in tail.groupBy("part").count().collect():  # a row for PIECE words
+        starts.append((r.part, at))
+        at += r["count"]
+    by = Window.partitionBy("part").orderBy("w")
+    tail = tail.join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part")
+    return head, common.materialize(tail.select("w", (F.col("start") + F.row_number().over(by) - 1).alias("code")), "quality-tail")
+
+
+def coded_blocks(rows: DataFrame, head) -> DataFrame:
+    """Blocks of the documents of ``_rows`` in codes of ``head``, a packed row each, and a row for each other word (h) of a block; written."""
 
     def run(batches):
-        from pyspark import TaskContext
+        for block, about, held in _blocks(batches, Open(head.value), BLOCK_TOKENS, BLOCK_DOCS):
+            values, at, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            ids, langs, sizes, halves = map(list, zip(*about, strict=True))
+            open_ = values[values > _MASK]
+            data = common.pack(_gaps(values), rank, rank[at])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([data], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int64())), pa.array([halves], pa.list_(pa.int64()))],
+                names=["block", "h", "data", "ids", "langs", "sizes", "halves"],
+            )
+            null = lambda kind: pa.nulls(len(open_), kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(open_), block)), pa.array(open_.view(np.int64)), null(pa.binary()), null(pa.list_(pa.int64())), null(pa.list_(pa.string())), null(pa.list_(pa.int64())), null(pa.list_(pa.int64()))],
+                names=["block", "h", "data", "ids", "langs", "sizes", "halves"],
+            )
+
+    common.bounded_batches(rows.sparkSession)
+    schema = "block long, h long, data binary, ids array<long>, langs array<string>, sizes array<long>, halves array<long>"
+    return common.materialize(rows.mapInArrow(common.released(run), schema), "quality-coded")
+
+
+def _with_tail(coded: DataFrame, tail: DataFrame) -> DataFrame:
+    """Rows of ``coded_blocks``, of other words those in ``tail`` with its columns; a block's words stand before the block."""
+    more = [c for c in tail.columns if c != "w"]
+    words = coded.filter("h is not null").select("block", "h").join(tail.withColumnRenamed("w", "h"), "h").select("block", "h", *more)
+    whole = coded.filter("h is null").select("block", "data", "ids", "langs", "sizes", "halves")
+    rows = words.unionByName(whole, allowMissingColumns=True).select("block", "data", "ids", "langs", "sizes", "halves", "h", *more)
+    return rows.repartition("block").sortWithinPartitions("block", F.col("h").isNull())
+
+
+def _uncoded(batches) -> Iterator[tuple[int, list[tuple], list[np.ndarray], np.ndarray]]:
+    """Of rows of ``_with_tail``: as ``_blocks`` does, with the codes of all words; and the tail's columns but h, by code."""
+    held = []
+    for batch in batches:
+        start = 0
+        for i in np.flatnonzero(batch.column(1).is_valid()).tolist():
+            held.append(batch.slice(start, i - start))
+            start = i + 1
+            words = np.stack([np.concatenate([x.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for x in held]) for c in range(6, batch.num_columns)])
+            held = []
+            h, codes = words[0].view(np.uint64), words[1].view(np.uint64)
+            by = np.argsort(h)
+            h, codes = h[by], codes[by]
+            gaps, rank, at = common.unpack(batch.column(1)[i].as_py())
+            values = np.cumsum(gaps)
+            other = np.flatnonzero(values > _MASK)
+            found = np.searchsorted(h, values[other])
+            known = found < len(h)
+            known[known] = h[found[known]] == values[other][known]
+            values[other[~known]] &= np.uint64(127)
+            values[other[known]] = codes[found[known]]
+            ranked = np.empty(len(values), np.uint64)
+            ranked[rank.astype(np.int64)] = values
+            about = list(zip(*(batch.column(c)[i].as_py() for c in (2, 3, 4, 5)), strict=True))
+            ends = np.cumsum([n + 1 for _, _, n, _ in about])
+            yield batch.column(0)[i].as_py(), about, np.split(ranked[at.astype(np.int64)], ends[:-1]), words[1:, np.argsort(words[1])]
+        held.append(batch.slice(start))
+
+
+def tail_statistics(counts: DataFrame, codes: int) -> DataFrame:
+    """Of each code from ``codes`` on, and each model m: how often it stands left (total_m), in how many pairs once, twice, more often (a_m, b_m, c_m), and how many words stand left of it (follow_m)."""
 
-        words, row = Words(), TaskContext.get().partitionId() << 33
+    def run(batches):
         for batch in batches:
-            for i, w in enumerate(words.of(batch.column(1))):
-                size = max(1, len(w) - 1)
-                v, x = (w[:-1], w[1:]) if len(w) > 1 else (w, w)
-                about = [pa.array(np.full(size, row)), *(pa.concat_arrays([batch.column(c).slice(i, 1)] * size) if size < 64 else batch.column(c).take(pa.array(np.full(size, i))) for c in (0, 2, 3))]
-                found = pa.array(np.full(size, len(w) > 1))
-                yield pa.RecordBatch.from_arrays([*about, pa.array(v.view(np.int64)), pa.array(x.view(np.int64)), found], names=["row", "doc_id", "lang", "half", "v", "w", "found"])
-                row += 1
-
-    spelled = rows.mapInArrow(common.released(run), "row long, doc_id long, lang string, half int, v long, w long, found boolean")
-    for side in ("v", "w"):
-        known = vocabulary.select(F.col("w").alias(side), F.lit(True).alias("known"))
-        spelled = spelled.join(known, side, "left").withColumn(side, F.when(F.col("known"), F.col(side)).otherwise(F.expr(f"{side} & 127"))).drop("known")
-    return spelled.groupBy("row", "half", "v", "w", "found").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.count(F.lit(1)).alias("n"))
-
-
-def _off(n: str, d: list[list[float]]) -> Column:
-    of = lambda m: F.when(F.col(n) == 1, d[m][0]).when(F.col(n) == 2, d[m][1]).otherwise(d[m][2])
-    return F.least(F.when(F.col("m") == 0, of(0)).otherwise(of(1)), F.col(n).cast("double"))
-
-
-def _table_discounts(counts: DataFrame) -> list[list[float]]:
-    found = counts.filter("n <= 4").groupBy("m", "n").count().collect()  # eight rows at most
-    per = {(r.m, r.n): r["count"] for r in found}
-    return [discounts(*(per.get((m, k), 0) for k in (1, 2, 3, 4))) for m in (0, 1)]
-
-
-def joined_scores(docs: DataFrame, trusted: DataFrame, vocabulary: DataFrame, spellings: np.ndarray) -> tuple[DataFrame, bool]:
-    """As ``sharded_scores``, for a vocabulary of any size, and whether both models have words: all counts are rows, all look-ups joins."""
-    seen = _pairs_of(trusted, vocabulary).filter("found").groupBy(F.col("half").alias("m"), "v", "w").agg(F.sum("n").alias("n"))
-    seen = common.materialize(seen, "quality-pairs")
-    codes = CLASSES + vocabulary.count()
-    rows = seen.withColumn("off", _off("n", _table_discounts(seen)))
-    left = rows.groupBy("m", "v").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("back"))
-    two = rows.join(left, ["m", "v"]).select("m", "v", "w", ((F.col("n") - F.col("off")) / F.col("total")).alias("two"))
-    follow = common.materialize(seen.groupBy("m", "w").agg(F.count(F.lit(1)).alias("n")), "quality-follow")
-    taken = follow.withColumn("off", _off("n", _table_discounts(follow)))
-    world = {r.m: r for r in taken.groupBy("m").agg(F.sum("n").alias("n"), F.sum("off").alias("off")).collect()}  # a row a model
-    share = [[1.0, world[m].off / world[m].n / codes] if m in world else [1.0, 1.0 / codes] for m in (0, 1)]
-    whole = [float(world[m].n) if m in world else 1.0 for m in (0, 1)]
-    pick = lambda x: F.when(F.col("m") == 0, x[0]).otherwise(x[1])
-    one = taken.select("m", "w", ((F.col("n") - F.col("off")) / pick(whole)).alias("one"))
-    own = _pairs_of(_rows(docs), vocabulary).withColumn("m", F.lit(1) - F.col("half"))
-    joined = own.join(two, ["m", "v", "w"], "left").join(left.select("m", "v", "back"), ["m", "v"], "left").join(one, ["m", "w"], "left")
-    low = F.coalesce("one", F.lit(0.0)) + pick([share[0][1], share[1][1]])
-    spelled = F.element_at(F.array(*map(F.lit, spellings.tolist())), F.when(F.col("w").between(0, CLASSES), F.col("w").cast("int") + 1).otherwise(1))
-    p = (F.coalesce("two", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * low) / spelled
-    n = F.sum(F.when(F.col("found"), F.col("n")).otherwise(0))
-    cost = F.sum(F.when(F.col("found"), -F.col("n") * F.log(p)).otherwise(0.0))
-    scores = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), n.alias("n_words"), F.when(n > 0, F.exp(cost / n)).alias("perplexity"))
-    return scores.drop("row"), len(world) == 2
+            for data in batch.column(0):
+                gaps, n = common.unpack(data.as_py())
+                g, n = np.cumsum(gaps), n.astype(np.int64)
+                m, left, right = _parts(g)
+                at, to = np.flatnonzero(left >= codes), np.flatnonzero(right >= codes)
+                keys, place = np.unique(np.concatenate([2 * left[at] + m[at], 2 * right[to] + m[to]]), return_inverse=True)
+                of_left, of_right = place[: len(at)], place[len(at) :]
+                count = lambda some: np.bincount(of_left[some], minlength=len(keys))
+                total = np.bincount(of_left, n[at], len(keys)).astype(np.int64)
+                for k in range(0, len(keys), PIECE):
+                    yield _batch("code m total a b c follow", *(x[k : k + PIECE].astype(np.int64) for x in (keys >> 1, keys & 1, total, count(n[at] == 1), count(n[at] == 2), count(n[at] > 2), np.bincount(of_right, minlength=len(keys)))))
+
+    rows = counts.select("data").mapInArrow(common.released(run), "code long, m long, total long, a long, b long, c long, follow long")
+    return rows.groupBy("code").agg(*(F.sum(F.when(F.col("m") == m, F.col(x)).otherwise(0)).alias(f"{x}_{m}") for m in (0, 1) for x in ("total", "a", "b", "c", "follow")))
+
+
+def divided_perplexities(docs: DataFrame, trusted: DataFrame, vocabulary: DataFrame, size: int, spellings: np.ndarray, words: int) -> tuple[DataFrame, bool]:
+    """As ``perplexities``, for a vocabulary of any size: what each block needs of its less frequent words is joined to it."""
+    context = docs.sparkSession.sparkContext
+    hashes, tail = divided_vocabulary(vocabulary, size, min(HEAD_WORDS, BROADCAST_WORDS))
+    head, codes = context.broadcast(hashes), FIRST + len(hashes)
+    keys = common.spread_keys(docs.sparkSession, max(1, -(-words // SHARD_WORDS)))
+
+    def documents(batches):
+        for _, about, held, _ in _uncoded(batches):
+            yield from zip(held, (x[3] for x in about), strict=True)
+
+    coded = coded_blocks(trusted, head)
+    counts = _pair_counts(_with_tail(coded, tail), documents, keys)
+    common.discard(coded)
+    taken = _model_discounts(counts)
+    found = tail.join(tail_statistics(counts, codes), "code", "left").na.fill(0)
+    found = common.materialize(found.select("w", "code", *(f"{x}_{m}" for m in (0, 1) for x in ("total", "a", "b", "c", "follow"))), "quality-tail")
+    common.discard(tail)
+    of = lambda f, m: F.coalesce(F.sum(F.when(f(F.col(f"follow_{m}")), 1).otherwise(0)), F.lit(0))
+    beyond = [[*(of(lambda c, k=k: c == k, m) for k in (1, 2, 3, 4)), of(lambda c: c >= 3, m), F.coalesce(F.sum(f"follow_{m}"), F.lit(0))] for m in (0, 1)]
+    beyond = np.array(found.agg(*(x.alias(f"n{i}") for i, x in enumerate(sum(beyond, [])))).first(), float).reshape(2, 6)
+    known = SingleWords(word_statistics(counts, taken, codes), spellings, size - len(hashes), beyond)
+    single, frequent, lower = context.broadcast(known), context.broadcast(frequent_pairs(counts, len(keys), FREQUENT)), known.lower
+
+    def blocks(batches):
+        for block, about, held, of in _uncoded(batches):
+            own, of = of[0], of[1:].reshape(2, 5, -1)
+            total = of[:, 0].astype(float)
+            back = np.stack([np.where(of[m, 0] > 0, np.array(taken[m]) @ of[m, 1:4] / np.maximum(of[m, 0], 1), 1.0) for m in (0, 1)])
+            one = np.stack([(of[m, 4] - _taken(of[m, 4], lower[m][0])) / lower[m][1] + lower[m][2] for m in (0, 1)])
+
+            def find(know, g, own=own, total=total, back=back, one=one):
+                m, left, right = _parts(g)
+                at = np.flatnonzero((left >= codes) | (right >= codes))
+                if not len(at):
+                    return None
+                m, left, right = m[at], left[at], right[at]
+
+                def pick(code, near, far):
+                    out, beyond = np.empty(len(code)), code >= codes
+                    out[~beyond] = near[m[~beyond], code[~beyond]]
+                    out[beyond] = far[m[beyond], np.searchsorted(own, code[beyond])]
+                    return out
+
+                return at, pick(left, know.back, back) * pick(right, know.one, one), pick(left, know.total, total)
+
+            yield block, about, held, find
+
+    coded = coded_blocks(_rows(docs), head)
+    scores = common.materialize(_scores(_with_tail(coded, found), blocks, counts, single, frequent, taken, keys), "quality-scores")
+    for table in (coded, found, vocabulary, counts):
+        common.discard(table)
+    for sent in (head, single, frequent):
+        sent.destroy()
+    return scores, known.judge
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, bool]:
@@ -552,9 +716,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, bool]:
     vocabulary, spellings, words = vocabulary_table(trusted)
     size = vocabulary.count()
     if size > BROADCAST_WORDS:
-        scores, judge = joined_scores(docs, trusted, vocabulary, spellings)
-        return common.materialize(scores, "quality-scores"), judge
-    hashes = context.broadcast(np.sort(vocabulary.toArrow().column("w").to_numpy().view(np.uint64)))  # as rows they would take many times their 8 bytes
+        return divided_perplexities(docs, trusted, vocabulary, size, spellings, words)
+    hashes = context.broadcast(np.sort(vocabulary.select("w").toArrow().column("w").to_numpy().view(np.uint64)))  # as rows they would take many times their 8 bytes
     keys = common.spread_keys(docs.sparkSession, max(1, -(-words // SHARD_WORDS)))
     counts = pair_counts(trusted, hashes, keys)
     taken = _model_discounts(counts)

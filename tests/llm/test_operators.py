@@ -454,6 +454,28 @@ def test_perplexities_by_brute_force(spark, monkeypatch):
         assert r.perplexity is None or r.perplexity == pytest.approx(want[r.doc_id], rel=1e-5)
 
 
+def test_a_vocabulary_beyond_its_broadcast_travels_packed(spark, monkeypatch):
+    """Beyond BROADCAST_WORDS perplexities are the same, and a pair of words takes a few bytes of shuffles, not a row of each of several joins."""
+    rng = np.random.default_rng(6)
+    odds = 1 / np.arange(1, 4001)
+    word = [f"w{i * 7919 % 99991:x}" for i in range(4000)]
+    texts = [(i, " ".join(rng.choice(word, 300, p=odds / odds.sum())) + f" once{i}") for i in range(2000)]
+    path = common.fresh_path(spark, "packed-test")
+    rows(spark, texts).repartition(4).write.parquet(path)
+    docs, labels = spark.read.parquet(path), spark.createDataFrame([(i, 1, 0) for i in range(1500)], "doc_id long, quality int, toxic int")
+    trusted = quality.trusted_documents(docs, quality.trusted_ids(labels))
+    store, got, moved = spark.sparkContext._jsc.sc().statusStore(), {}, {}
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    for most in (quality.BROADCAST_WORDS, 500, 0):
+        monkeypatch.setattr(quality, "BROADCAST_WORDS", most)
+        before = stages()
+        got[most] = {r.doc_id: r.perplexity for r in quality.perplexities(docs, trusted)[0].collect()}
+        moved[most] = sum(n for k, n in stages().items() if k not in before)
+    packed = max(got)
+    assert len(got[packed]) == 2000 and all(got[most] == pytest.approx(got[packed], rel=1e-5) for most in (500, 0))
+    assert moved[500] < 2 * sum(len(t) for _, t in texts), moved
+
+
 @pytest.mark.parametrize("shards", [1, 9])
 def test_frequent_pairs_are_scored_where_the_document_is(spark, monkeypatch, shards):
     """Shards are asked for the other pairs alone; perplexities do not depend on how many pairs are broadcast."""
